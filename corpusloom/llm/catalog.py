@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import topk, url_filter
+from corpusloom.llm import bpe, packing, topk, url_filter
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op6_bpe_codec": bpe.op6_bpe_codec,
     "op8_exact_topk": topk.op8_exact_topk,
 }
 
