@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, packing, topk, url_filter
+from corpusloom.llm import bpe, chat_format, packing, topk, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_url_filter": url_filter.op3_url_filter,
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op8_exact_topk": topk.op8_exact_topk,
 }
 
 SQL = {
+    "op2_chat_format": chat_format.OP2_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
     "op8_exact_topk": topk.OP8_SQL,
 }
