@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat_format, packing, topk, url_filter, warc
+from corpusloom.llm import bpe, chat_format, packing, quality, topk, url_filter, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_warc": warc.op4_warc,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op8_exact_topk": topk.op8_exact_topk,
 }
@@ -17,5 +18,6 @@ SQL = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
     "op8_exact_topk": topk.OP8_SQL,
 }

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,4 +57,9 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the runs of characters other than space and \\t to \\r; null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, and only where the expression is reached."""
+    return F.get(F.transform(F.array(value), use), 0)
