@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat_format, packing, quality, topk, url_filter, warc
+from corpusloom.llm import bpe, chat_format, license_scan, packing, quality, topk, url_filter, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op8_exact_topk": topk.op8_exact_topk,
+    "op9_license_scan": license_scan.op9_license_scan,
 }
 
 SQL = {
@@ -20,4 +21,5 @@ SQL = {
     "op4_warc": warc.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op8_exact_topk": topk.OP8_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
 }
