@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat_format, license_scan, packing, quality, topk, url_filter, warc
+from corpusloom.llm import bpe, chat_format, license_scan, ngram_join, packing, quality, topk, url_filter, warc
 
 QUERIES = {
+    "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_url_filter": url_filter.op3_url_filter,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op10_ngram_jaccard": ngram_join.OP10_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
     "op4_warc": warc.OP4_SQL,

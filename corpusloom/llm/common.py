@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -40,9 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the table
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with one row a key, whose column ``n`` is the number of rows that hold it.
+
+    Keys of more than a thousandth of ``total`` rows (a thousand keys at most) are broadcast, so that no
+    hot key meets in one task; the others are joined by a shuffle.
+    """
+    hot = max(1000, total // 1000)
+    values = [c for c in counted.columns if c not in key]
+    frequent = counted.where(F.col(n) > hot).select(*key, *(F.col(c).alias(f"_hot_{c}") for c in values))
+    out = rows.join(F.broadcast(frequent), key, "left").join(counted.where(F.col(n) <= hot), key, "left")
+    return out.withColumns({c: F.coalesce(f"_hot_{c}", c) for c in values}).drop(*(f"_hot_{c}" for c in values))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

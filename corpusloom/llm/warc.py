@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh_path, table, written
+from corpusloom.llm.common import fresh_path, join_counted, table, written
 
 #: Compressed bytes after which a task begins its next file; bytes read at once.
 FILE_BYTES, WINDOW = 64 << 20, 1 << 18
@@ -77,12 +77,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2000-01-01
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     firsts = written(first_pages(rows, min_bytes), "warc-firsts")
-    hot = max(1000, pages.count() // 1000)
-    frequent, others = firsts.where(F.col("n") > hot), firsts.where(F.col("n") <= hot)
-    key = ["digest", "size"]
-    joined = rows.join(F.broadcast(frequent.select(*key, F.col("first_id").alias("hot_id"))), key, "left").join(others.select(*key, "first_id"), key, "left")
-    first = F.coalesce("hot_id", "first_id")
-    ready = joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != first, first).alias("refers_to"))
+    joined = join_counted(rows, firsts, ["digest", "size"], "n", pages.count())
+    ready = joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
     folder = fresh_path(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
