@@ -1,8 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline over ``documents``: stages written as Parquet and read again as the next one's documents.
 
-STAGES = []
+Every stage works on all that the one before kept. A stage that filters returns its documents' own columns
+unchanged; the last one returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import bpe, langid, ngram_join, packing, quality
+from corpusloom.llm.common import table, written
+
+#: A text whose likeliest language has no more than this is of no known language.
+LEAST_SCORE = 0.3
+#: Rows to drop that are broadcast at most; more are dropped by a shuffled join.
+FEW_ROWS = 1_000_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those of no known language."""
+    judged = langid.predict(docs, langid.trained_on(docs))
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > LEAST_SCORE)).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what any rule of the cascade rejects."""
+    return quality.judge(docs, "_failed").where(F.col("_failed").isNull()).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row of smallest doc_id, the first of equals, of each group of linked documents."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = rows.select(F.struct("doc_id", "_row").alias("_key"), "text")
+    gone = ngram_join.jaccard_groups(keyed, "_key").where(F.col("_key") != F.col("component_id"))
+    gone = written(gone.select("_key._row"), "pipeline-copies")
+    few = gone.count() <= FEW_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, bpe.vocabulary_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard", ngram_jaccard),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The first and the last stage can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat_format, license_scan, ngram_join, packing, quality, topk, url_filter, warc
+from corpusloom.llm import bpe, chat_format, langid, license_scan, ngram_join, packing, quality, topk, url_filter, warc
 
 QUERIES = {
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_bpe_codec": bpe.op6_bpe_codec,
+    "op7_language_id": langid.op7_language_id,
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_license_scan": license_scan.op9_license_scan,
 }
