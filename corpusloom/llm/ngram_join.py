@@ -25,20 +25,27 @@ an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_lower, join_counted, let, table, words, written
 
 N, NUM, DEN = 3, 70, 100
-#: An inverted list longer than this is heavy: its shingle goes to the end of the order.
-HEAVY = 16
-#: Bits of the map of heavy shingles, and the boundaries between small and large that are weighed.
-MAP_BITS, BOUNDARIES = 20, (1, 4, 8, 16, 24, 32)
+#: Lists that are longer than the least power of two from HEAVY on that no more than 1 / MAP_SPARE as many
+#: lists pass as the map of heavy shingles has bits are heavy: their shingles go to the end of the order.
+HEAVY, MAP_BITS, MAP_SPARE = 4, 22, 8
+#: Boundaries between small and large that are weighed.
+BOUNDARIES = (1, 4, 8, 16, 24, 32)
 #: Weight of a pair of a list against a row of one.
 PAIR_COST = 0.25
+#: Shared tokens before an entry that it carries.
+PAST = 4
 #: Documents, about, of a cell: partners whose sets travel together.
 CELL = 64
+#: Row numbers that are broadcast at most (8 bytes each); more are joined by a shuffle.
+FEW_ROWS = 1_000_000
 _HASH = (1 << 57) - 1
 
 
@@ -76,9 +83,19 @@ def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit((1 << MAP_BITS) - 1))
 
 
-def heavy_map(lists: DataFrame) -> list[int] | None:
-    """The bit map of heavy shingles as longs, from (token, n); None if there is none."""
-    bits = lists.where(F.col("n") > HEAVY).select(_bucket(F.col("token")).alias("b"))
+def heavy_length(lists: DataFrame) -> int:
+    """The length beyond which a list is heavy."""
+    bits = F.when(F.col("n") > HEAVY, F.ceil(F.log2(F.col("n").cast("double")))).otherwise(0).cast("int")
+    longer = {r["b"]: r["count"] for r in lists.groupBy(bits.alias("b")).count().collect()}  # 64 rows at most
+    length = HEAVY
+    while sum(n for b, n in longer.items() if 2**b > length) > (1 << MAP_BITS) // MAP_SPARE:
+        length *= 2
+    return length
+
+
+def heavy_map(lists: DataFrame, length: int) -> list[int] | None:
+    """The bit map of shingles with longer lists as longs, from (token, n); None if there is none."""
+    bits = lists.where(F.col("n") > length).select(_bucket(F.col("token")).alias("b"))
     word = bits.groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits"))
     got = {r["word"]: r["bits"] for r in word.collect()}  # 2**MAP_BITS / 64 rows at most
     return [got.get(i, 0) for i in range(1 << (MAP_BITS - 6))] if got else None
@@ -98,9 +115,9 @@ def reordered(tokens: Column, length: Column, bits: Column | None) -> Column:
     return let(head, lambda h: F.when(F.exists(h, heavy), F.slice(moved, F.lit(1), length)).otherwise(h))
 
 
-def choose_boundary(lists: DataFrame, sets: DataFrame) -> int:
+def choose_boundary(lists: DataFrame, sets: DataFrame, length: int) -> int:
     """The boundary of least cost. ``lists``: token, n, and s_b (sets of at most b) for each boundary b."""
-    light = F.col("n") <= HEAVY
+    light = F.col("n") <= length
     pairs = {b: F.sum(F.when(light, (F.col("n") * F.col("n") - F.col(f"s_{b}") * F.col(f"s_{b}")) / 2).otherwise(0)) for b in BOUNDARIES}
     scanned = lists.agg(*(F.coalesce(v, F.lit(0.0)).alias(f"p_{b}") for b, v in pairs.items())).collect()[0]
     size = F.col("size")
@@ -125,20 +142,54 @@ def _entries(sets: DataFrame, boundary: int, bits: Column | None) -> DataFrame:
 
 
 def candidate_pairs(entries: DataFrame, boundary: int) -> DataFrame:
-    """Distinct (a, b), a < b, of entries that share a token and pass the filters."""
-    a, b = (entries.select("token", "subset", *(F.col(c).alias(c + x) for c in ("uid", "size", "pos"))) for x in "ab")
+    """Distinct (a, b), a < b, of entries that share a token and pass the filters.
+
+    An entry carries the shared tokens just before it. Where two entries have one of these in common, the
+    pair meets there already, so near copies, whose whole lists coincide, are paired about once. A pair's
+    first common token has none before it in common, and there the filters hold for every link.
+    """
+    before = Window.partitionBy("uid", "subset").orderBy("pos", "token")
+    past = entries.withColumn("past", F.array_compact(F.array(*(F.lag("token", i).over(before) for i in range(1, PAST + 1)))))
+    past = past.withColumn("past", F.when(F.col("subset"), F.expr("CAST(array() AS array<bigint>)")).otherwise(F.col("past")))
+    a, b = (past.select("token", "subset", *(F.col(c).alias(c + x) for c in ("uid", "size", "pos", "past"))) for x in "ab")
     sa, sb = F.col("sizea"), F.col("sizeb")
     rest = 1 + F.least(sa - F.col("posa"), sb - F.col("posb")) - 1
-    fit = F.col("subset") | (((sa > boundary) | (sb > boundary)) & (rest >= _least_overlap(sa, sb)))
+    fit = F.col("subset") | (((sa > boundary) | (sb > boundary)) & (rest >= _least_overlap(sa, sb)) & ~F.arrays_overlap("pasta", "pastb"))
     pairs = a.join(b, ["token", "subset"]).where((F.col("uida") < F.col("uidb")) & _sizes_fit(sa, sb) & fit)
     return pairs.select(F.col("uida").alias("a"), F.col("uidb").alias("b")).distinct()
 
 
+def _kept(grouped: DataFrame, sets: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) of groups (g1, g2, a, b) whose sets (uid, size, tokens) fulfil ``ok``, and their groups.
+
+    A group gets each of its sets once, however many of its pairs it is in.
+    """
+    there = grouped.select("g1", "g2", F.explode(F.array("a", "b")).alias("uid")).distinct()
+    wanted = there.select("uid").distinct()
+    few = wanted.count() <= FEW_ROWS
+    own = sets.select("uid", "size", "tokens").join(F.broadcast(wanted) if few else wanted, "uid", "left_semi")
+    held = there.join(own, "uid").groupBy("g1", "g2").agg(F.collect_list(F.struct("uid", "size", "tokens")).alias("s"))
+    asked = grouped.groupBy("g1", "g2").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+
+    def links(s: Column, p: Column) -> Column:
+        def one(ids: Column, x: Column) -> Column:
+            at = lambda uid: F.get(s, (F.array_position(ids, uid) - 1).cast("int"))
+            both = F.struct(at(x["a"]).alias("a"), at(x["b"]).alias("b"))
+            return let(both, lambda t: F.coalesce(ok(t["a"], t["b"]), F.lit(True)))
+
+        return let(F.transform(s, lambda x: x["uid"]), lambda ids: F.filter(p, lambda x: one(ids, x)))
+
+    kept = F.when(F.col("s").isNull(), F.col("p")).otherwise(links(F.col("s"), F.col("p")))
+    return asked.join(held, ["g1", "g2"], "left").select("g1", "g2", F.explode(kept).alias("x")).select("g1", "g2", "x.a", "x.b")
+
+
 def verified(pairs: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.
 
-    A set's cell is its first shared token and a share of the sets that have the same one. A group is a
-    pair of cells; it gets the sets of its pairs once each, about 2 * CELL of them.
+    A set's cell is its first shared token and a share of the sets that have the same one; a group is a pair
+    of cells, with about 2 * CELL sets. Pairs are first held to the bound that their shared prefix tokens
+    give: what two sets can have in common beyond these is no more than one of them has beyond its prefix.
+    Whole sets travel only for what is left.
     """
     first = entries.groupBy("uid").agg(F.min_by("token", F.struct("pos", "token")).alias("proxy"))
     shares = first.groupBy("proxy").agg(F.count("*").alias("n"))
@@ -146,22 +197,18 @@ def verified(pairs: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame
     cells = cells.select("uid", "proxy", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / CELL)).alias("share"))
     cells = written(cells, "jaccard-cells")
     ends = [cells.select(F.col("uid").alias(x), F.struct("proxy", "share").alias("c" + x)) for x in "ab"]
-    grouped = written(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.xxhash64("ca", "cb").alias("g1"), F.hash("ca", "cb").alias("g2")), "jaccard-pairs")
-    there = grouped.select("g1", "g2", F.explode(F.array("a", "b")).alias("uid")).distinct()
-    held = there.join(sets.select("uid", "size", "tokens"), "uid").groupBy("g1", "g2").agg(F.collect_list(F.struct("uid", "tokens")).alias("s"))
-    asked = grouped.groupBy("g1", "g2").agg(F.collect_list(F.struct("a", "b")).alias("p"))
-
-    def link(s: Column, p: Column) -> Column:
-        ids = F.transform(s, lambda x: x["uid"])
-        tokens = lambda ids, uid: F.get(s, (F.array_position(ids, uid) - 1).cast("int"))["tokens"]
+    grouped = written(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.xxhash64("ca", "cb").alias("g1"), F.hash("ca", "cb").alias("g2")), "jaccard-groups")
+    heads = entries.where(~F.col("subset")).groupBy("uid", "size").agg(F.collect_list("token").alias("tokens"))
 
-        def ok(ids: Column, x: Column) -> Column:
-            both = F.array(F.struct(tokens(ids, x["a"]).alias("a"), tokens(ids, x["b"]).alias("b")))
-            return F.exists(both, lambda t: let(F.size(F.array_intersect(t["a"], t["b"])), lambda common: DEN * common >= NUM * (F.size(t["a"]) + F.size(t["b"]) - common)))
+    def may(a: Column, b: Column) -> Column:
+        beyond = F.greatest(_need(a["size"]), _need(b["size"])) - 1
+        return F.size(F.array_intersect(a["tokens"], b["tokens"])) + beyond >= _least_overlap(a["size"], b["size"])
 
-        return let(ids, lambda i: F.filter(p, lambda x: ok(i, x)))
+    def does(a: Column, b: Column) -> Column:
+        return let(F.size(F.array_intersect(a["tokens"], b["tokens"])), lambda common: DEN * common >= NUM * (a["size"] + b["size"] - common))
 
-    return asked.join(held, ["g1", "g2"]).select(F.explode(link(F.col("s"), F.col("p"))).alias("x")).select("x.a", "x.b")
+    likely = written(_kept(grouped, heads, may), "jaccard-likely")
+    return _kept(likely, sets, does).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,20 +244,22 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     member = written(join_counted(some.select("uid", "key", *print_), classes, print_, "n", total).select("uid", "key", "size", "rep", "n"), "jaccard-members")
 
     copies = member.where("uid <> rep").select("uid")
-    few = copies.count() <= 1_000_000
+    few = copies.count() <= FEW_ROWS
     sets = rows.select("uid", "size", "tokens").where("size > 0").join(F.broadcast(copies) if few else copies, "uid", "left_anti")
 
     ahead = F.col("size") - _need(F.col("size")) + 1
     drawn = sets.select("size", F.explode(F.slice("tokens", F.lit(1), ahead)).alias("token"))
     lists = drawn.groupBy("token").agg(F.count("*").alias("n"), *(F.count_if(F.col("size") <= b).alias(f"s_{b}") for b in BOUNDARIES)).where("n > 1")
     lists = written(lists, "jaccard-lists")
-    boundary = choose_boundary(lists, classes)
-    map_ = heavy_map(lists)
+    length = heavy_length(lists)
+    boundary = choose_boundary(lists, classes, length)
+    map_ = heavy_map(lists, length)
     bits = F.lit(None) if map_ is None else spark.createDataFrame([(map_,)], "bits array<long>").scalar()
     entries = _entries(sets.withColumn("bits", bits), boundary, None if map_ is None else F.col("bits"))
     shared = entries.withColumn("n", F.expr("count(*) OVER (PARTITION BY token)")).where("n > 1").drop("n")
     shared = written(shared, "jaccard-entries")
-    links = written(verified(candidate_pairs(shared, boundary), shared, sets), "jaccard-links")
+    pairs = written(candidate_pairs(shared, boundary), "jaccard-candidates")
+    links = written(verified(pairs, shared, sets), "jaccard-links")
 
     size_of = classes.select("rep", "n", "first")
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
