@@ -37,7 +37,7 @@ N, NUM, DEN = 3, 70, 100
 #: lists pass as the map of heavy shingles has bits are heavy: their shingles go to the end of the order.
 HEAVY, MAP_BITS, MAP_SPARE = 4, 22, 8
 #: Boundaries between small and large that are weighed.
-BOUNDARIES = (1, 4, 8, 16, 24, 32)
+BOUNDARIES = (1, 8, 16, 32)
 #: Weight of a pair of a list against a row of one.
 PAIR_COST = 0.25
 #: Shared tokens before an entry that it carries.
@@ -183,21 +183,28 @@ def _kept(grouped: DataFrame, sets: DataFrame, ok: Callable[[Column, Column], Co
     return asked.join(held, ["g1", "g2"], "left").select("g1", "g2", F.explode(kept).alias("x")).select("g1", "g2", "x.a", "x.b")
 
 
+def _grouped(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their group (g1, g2): the shares of the cells (uid, cell) that their sets are in.
+    A share has about CELL sets, so a group has about twice as many."""
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    placed = join_counted(cells, sizes, ["cell"], "n", 0)
+    placed = written(placed.select("uid", "cell", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / CELL)).alias("share")), "jaccard-cells")
+    ends = [placed.select(F.col("uid").alias(x), F.struct("cell", "share").alias("c" + x)) for x in "ab"]
+    met = pairs.join(ends[0], "a").join(ends[1], "b")
+    low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
+    return written(met.select("a", "b", F.xxhash64(low, high).alias("g1"), F.hash(low, high).alias("g2")), "jaccard-groups")
+
+
 def verified(pairs: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.
 
-    A set's cell is its first shared token and a share of the sets that have the same one; a group is a pair
-    of cells, with about 2 * CELL sets. Pairs are first held to the bound that their shared prefix tokens
-    give: what two sets can have in common beyond these is no more than one of them has beyond its prefix.
-    Whole sets travel only for what is left.
+    Pairs are first held to the bound that their shared prefix tokens give: what two sets can have in common
+    beyond these is no more than one of them has beyond its prefix. Here a set's cell is its first shared
+    token. Whole sets travel only for what is left, where a set's cell is its component, so that a set
+    travels once unless its component is a large one.
     """
-    first = entries.groupBy("uid").agg(F.min_by("token", F.struct("pos", "token")).alias("proxy"))
-    shares = first.groupBy("proxy").agg(F.count("*").alias("n"))
-    cells = join_counted(first, shares, ["proxy"], "n", 0)
-    cells = cells.select("uid", "proxy", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / CELL)).alias("share"))
-    cells = written(cells, "jaccard-cells")
-    ends = [cells.select(F.col("uid").alias(x), F.struct("proxy", "share").alias("c" + x)) for x in "ab"]
-    grouped = written(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.xxhash64("ca", "cb").alias("g1"), F.hash("ca", "cb").alias("g2")), "jaccard-groups")
+    first = entries.groupBy("uid").agg(F.min_by("token", F.struct("pos", "token")).alias("cell"))
+    grouped = _grouped(pairs, first)
     heads = entries.where(~F.col("subset")).groupBy("uid", "size").agg(F.collect_list("token").alias("tokens"))
 
     def may(a: Column, b: Column) -> Column:
@@ -207,8 +214,9 @@ def verified(pairs: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame
     def does(a: Column, b: Column) -> Column:
         return let(F.size(F.array_intersect(a["tokens"], b["tokens"])), lambda common: DEN * common >= NUM * (a["size"] + b["size"] - common))
 
-    likely = written(_kept(grouped, heads, may), "jaccard-likely")
-    return _kept(likely, sets, does).select("a", "b")
+    likely = written(_kept(grouped, heads, may).select("a", "b"), "jaccard-likely")
+    near = written(components(likely).select(F.col("node").alias("uid"), F.col("root").alias("cell")), "jaccard-near")
+    return _kept(_grouped(likely, near), sets, does).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
