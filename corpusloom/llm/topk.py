@@ -162,7 +162,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
         one = asked.where(F.col("dim") == part["dim"])
         after = None
         for _ in range(0, part["n"], size):
-            rest = one if after is None else one.where(F.struct("id", "v") > F.struct(F.lit(after["id"]), F.lit(list(after["v"]))))
+            last = None if after is None else F.array(*map(F.lit, after["v"]))
+            rest = one if after is None else one.where((F.col("id") > after["id"]) | ((F.col("id") == after["id"]) & (F.col("v") > last)))
             block = rest.orderBy("id", "v").limit(size).collect()  # block_bytes at most
             if not block:
                 break
