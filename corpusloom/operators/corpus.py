@@ -21,7 +21,7 @@ def char_tokenizer(text: Column) -> Column:
 TOKENIZERS: dict[str, Tokenizer] = {"char": char_tokenizer}
 
 
-def filter_texts(docs: DataFrame, *, text: str = "text", order: str = "doc_id", min_chars: int = 0, max_chars: int | None = None, score: str | None = None, min_score: float | None = None, int_score: str | None = None, min_int_score: int | None = None, max_docs: int | None = None) -> DataFrame:
+def filter_texts(docs: DataFrame, *, text: str = "text", order: str = "doc_id", max_docs: int | None = None, min_chars: int = 0, max_chars: int | None = None, score: str | None = None, int_score: str | None = None, min_int_score: int | None = None, min_score: float | None = None) -> DataFrame:
     """Drops null, empty and short texts and low scores (null scores pass), cuts long ones.
 
     The minimum counts before the cut. A limit keeps the first rows by ``order``; 0 keeps one.

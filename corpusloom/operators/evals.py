@@ -13,6 +13,7 @@ _KINDS = ("perplexity", "word_perplexity", "byte_perplexity")
 LOWER_IS_BETTER = tuple(f"{k},none" for k in (*_KINDS, "loss"))
 PREFERRED = tuple(f"{k},none" for k in ("acc_norm", "acc", "exact_match", "f1", *_KINDS))
 MARKER = "### Response:"
+TITLE = "lm-eval Comparison"
 
 
 def as_number(value: Column) -> Column:
@@ -65,17 +66,17 @@ def markdown(name: str, candidate: DataFrame, baselines: DataFrame, models: Sequ
     table = comparison_table(candidate, baselines, models).collect()
     rates = {r["baseline"]: r for r in win_rates(candidate, baselines).collect()}
     head = ["Task", "Metric", name, *models]
-    out = ["# lm-eval Comparison", "", f"Candidate: `{name}`", "", row(head), row(["---"] * len(head)), *(row(list(r)) for r in table), "", "## Win Rates", ""]
+    out = ["# " + TITLE, "", "Candidate: `" + name + "`", "", row(head), row(["---"] * len(head)), *(row(list(r)) for r in table), "", "## Win Rates", ""]
     for m in models:
         wins, n, rate = (rates[m][k] for k in ("wins", "comparable", "rate")) if m in rates else (0, 0, 0.0)
         out.append(f"- `{m}`: {wins}/{n} = {rate:.3f}")
     return "\n".join([*out, ""])
 
 
-def parse_named_path(value: str) -> tuple[str, str]:
-    name, sign, path = value.partition("=")
+def parse_named_path(pair: str) -> tuple[str, str]:
+    name, sign, path = pair.partition("=")
     if not (name and sign and path):
-        raise ValueError(f"NAME=PATH is wanted, not {value!r}")
+        raise ValueError(f"NAME=PATH is wanted, not {pair!r}")
     return name, path
 
 

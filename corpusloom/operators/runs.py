@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKENS_PER_STEP = 528_384
-CSV_FIELDS = ("event", "step", "tokens", "tokens_b", "loss", "perplexity", "lr", "tokens_per_sec_window", "source")
+CSV_FIELDS = tuple("event step tokens tokens_b loss perplexity lr tokens_per_sec_window source".split())
 
 
 def moving_average(rows: DataFrame, value: str, window: int = 25, order: str = "step", name: str = "smooth") -> DataFrame:

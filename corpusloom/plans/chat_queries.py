@@ -109,7 +109,7 @@ def _count_sql(x: str) -> str:
 
 def _score_sql(p: str, r: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    marked = " OR ".join(f"contains({r}, {quote(m)})" for m in ("\n-", "\n1.", ":", "```"))
+    marked = " OR ".join(f"contains({r}, {quote(m)})" for m in (":", "```", "\n1.", "\n-"))
     bad = " + ".join(f"(CASE WHEN contains(lower({r}), {quote(b)}) THEN 1e0 ELSE 0e0 END)" for b in T.BAD_PHRASES)
     refused = " OR ".join(f"starts_with(lower({r}), {quote(b)})" for b in T.REFUSALS)
     size = f"(least(3e0, length({r}) / 350e0) - CASE WHEN length({r}) > 1400 THEN least(1.5e0, (length({r}) - 1400e0) / 1600e0) ELSE 0e0 END)"

@@ -24,8 +24,8 @@ SCORES = {
 METRIC_ROWS = [(m, t, "acc,none" if t in ("LAMBADA", "WinoGrande") else "acc_norm,none", v / 1e4) for m, vs in SCORES.items() for t, v in zip(TASKS, vs)]
 METRICS = "model string, task string, metric string, value double"
 RESULTS = json.dumps({"results": {
-    "hellaswag": {"alias": "h", "acc,none": 0.4, "acc_norm,none": 0.42, "acc_norm_stderr,none": 0.01},
-    "piqa": {"acc,none": 0.61, "acc_stderr,none": 0.02},
+    "hellaswag": {"acc_norm_stderr,none": 0.01, "alias": "h", "acc,none": 0.4, "acc_norm,none": 0.42},
+    "piqa": {"acc_stderr,none": 0.02, "acc,none": 0.61},
     "wiki": {"bits_stderr,none": 0.5, "bits,none": 1.25, "word_perplexity,none": 20.5},
     "odd": {"zeta_stderr,none": 0.1, "zeta,none": 3, "alpha,none": 4},
     "none": {"alias": "text", "x_stderr,none": 0.1},
@@ -41,7 +41,7 @@ LOG = [("train", s, s * 528384, True, 5.0 / (1 + s / 500), 5958.0 if s == 1 else
 LOG += [("eval", 500, None, False, 5.25, None), ("eval", 2000, 77, True, 3.5, None), ("eval", 2250, None, False, 3.25, None), ("eval", 1500, None, True, 3.0, None)]
 LOG_ROWS = [(i, *row) for i, row in enumerate(LOG)]
 LOG_SCHEMA = "pos int, event string, step bigint, tokens bigint, had_tokens boolean, loss double, tokens_per_sec_window double"
-LINES = ['{"event": "train", "step": 1, "loss": 2.5, "tokens": 5}', "noise", '  {"event": "eval", "step": 2, "loss": 3.0}  ', '{"step": 3}', '{"event": "train", "step": ', '{"event": "done"}', "{broken}"]
+LINES = ['{"tokens": 5, "step": 1, "loss": 2.5, "event": "train"}', "noise", '  {"event": "eval", "step": 2, "loss": 3.0}  ', '{"step": 3}', '{"event": "train", "step": ', '{"event": "done"}', "{broken}"]
 PROMPTS = [
     ("capital", ["beijing"], None, "It is Beijing."),
     ("missing", ["london", "uk"], None, "London only"),
@@ -133,7 +133,7 @@ def eval_token_lookup(spark, d):
 def csv_rows(spark, d):
     train, evaluated = _log(spark)
     rows = runs.ordered_events(train, runs.evaluation_tokens(train, evaluated))
-    return runs.csv_rows(rows.withColumn("loss", F.col("loss").cast("decimal(12,6)"))).select("event", "step", "tokens", "tokens_b", "loss", "perplexity", "lr", "source")
+    return runs.csv_rows(rows.withColumn("loss", F.col("loss").cast("decimal(12,6)"))).select(*(f for f in runs.CSV_FIELDS if not f.startswith("tokens_per")))
 
 
 def event_lines(spark, d):

@@ -136,7 +136,8 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT) -> DataFram
 
 def final_evaluation(text: DataFrame, step: int, tokens: int) -> DataFrame:
     """An evaluation event from the first ``loss=... perplexity=...`` of a log's whole text; no row without one."""
-    pattern = r"loss=([0-9.]+)\s+perplexity=([0-9.]+)"
+    number = "([0-9.]+)"
+    pattern = rf"loss={number}\s+perplexity={number}"
     got = text.where(F.col("value").rlike(pattern))
     return got.select(F.lit("eval").alias("event"), F.lit(step).cast("bigint").alias("step"), F.lit(tokens).cast("bigint").alias("tokens"), *(F.regexp_extract("value", pattern, i).cast("double").alias(n) for i, n in ((1, "loss"), (2, "perplexity"))))
 
