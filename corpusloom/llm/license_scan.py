@@ -35,7 +35,7 @@ TEMPLATES = (
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("mit", "Permission is hereby granted, free of charge, " "to any person obtaining a copy of this software " "and associated documentation files, to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 

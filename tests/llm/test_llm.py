@@ -312,7 +312,7 @@ def test_top_k_of_large_components(spark):
 
 
 def test_license_edges(spark):
-    texts = [*EDGE_TEXTS, "ALL RIGHTS  reserved.", "cc-by cc by", "Released under the MIT License.", "Permission is granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "all rights K reserved"]
+    texts = [*EDGE_TEXTS, "ALL RIGHTS  reserved.", "cc-by cc by", "Released under the MIT License.", "Permission is granted, free of charge, " "to any person obtaining a copy of this software " "and associated documentation files, to deal in the Software without restriction", "all rights K reserved"]
     n = len(EDGE_TEXTS)
     got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, texts)).collect()}
     assert all(got[i]["n_words"] == 0 and got[i]["labels"] == [] and got[i]["score"] == 0 for i in (0, 1, 2))
