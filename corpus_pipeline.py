@@ -20,8 +20,8 @@ FEW_ROWS = 1_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those of no known language."""
-    judged = langid.predict(docs, langid.trained_on(docs))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > LEAST_SCORE)).select(*docs.columns)
+    judged = langid.predict(docs, langid.trained_on(docs), names=("_lang", "_score"))
+    return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") > LEAST_SCORE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

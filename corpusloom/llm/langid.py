@@ -131,10 +131,10 @@ def train_model(labelled: DataFrame, text_col: str = "text", label_col: str = "l
     return model
 
 
-def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; texts travel as letters only, in an extra column that is dropped."""
+def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, by ``names``; texts travel as letters only, in an extra column that is dropped."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0)))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     made = docs.withColumn("_guess", classify(letters(F.col(text_col))))
-    return made.withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    return made.withColumns(dict(zip(names, (F.col("_guess.lang_pred"), F.col("_guess.score"))))).drop("_guess")
 
 
 def held_out() -> Column:
