@@ -160,7 +160,7 @@ def candidate_pairs(entries: DataFrame, boundary: int) -> DataFrame:
 
 
 def _kept(grouped: DataFrame, sets: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
-    """The pairs (a, b) of groups (g1, g2, a, b) whose sets (uid, size, tokens) fulfil ``ok``, and their groups.
+    """The pairs (a, b) of groups (g1, g2, a, b) whose sets (uid, size, tokens) fulfil ``ok``.
 
     A group gets each of its sets once, however many of its pairs it is in.
     """
@@ -174,13 +174,11 @@ def _kept(grouped: DataFrame, sets: DataFrame, ok: Callable[[Column, Column], Co
     def links(s: Column, p: Column) -> Column:
         def one(ids: Column, x: Column) -> Column:
             at = lambda uid: F.get(s, (F.array_position(ids, uid) - 1).cast("int"))
-            both = F.struct(at(x["a"]).alias("a"), at(x["b"]).alias("b"))
-            return let(both, lambda t: F.coalesce(ok(t["a"], t["b"]), F.lit(True)))
+            return let(F.struct(at(x["a"]).alias("a"), at(x["b"]).alias("b")), lambda t: ok(t["a"], t["b"]))
 
         return let(F.transform(s, lambda x: x["uid"]), lambda ids: F.filter(p, lambda x: one(ids, x)))
 
-    kept = F.when(F.col("s").isNull(), F.col("p")).otherwise(links(F.col("s"), F.col("p")))
-    return asked.join(held, ["g1", "g2"], "left").select("g1", "g2", F.explode(kept).alias("x")).select("g1", "g2", "x.a", "x.b")
+    return asked.join(held, ["g1", "g2"]).select(F.explode(links(F.col("s"), F.col("p"))).alias("x")).select("x.a", "x.b")
 
 
 def _grouped(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -195,28 +193,14 @@ def _grouped(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return written(met.select("a", "b", F.xxhash64(low, high).alias("g1"), F.hash(low, high).alias("g2")), "jaccard-groups")
 
 
-def verified(pairs: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.
-
-    Pairs are first held to the bound that their shared prefix tokens give: what two sets can have in common
-    beyond these is no more than one of them has beyond its prefix. Here a set's cell is its first shared
-    token. Whole sets travel only for what is left, where a set's cell is its component, so that a set
-    travels once unless its component is a large one.
-    """
-    first = entries.groupBy("uid").agg(F.min_by("token", F.struct("pos", "token")).alias("cell"))
-    grouped = _grouped(pairs, first)
-    heads = entries.where(~F.col("subset")).groupBy("uid", "size").agg(F.collect_list("token").alias("tokens"))
-
-    def may(a: Column, b: Column) -> Column:
-        beyond = F.greatest(_need(a["size"]), _need(b["size"])) - 1
-        return F.size(F.array_intersect(a["tokens"], b["tokens"])) + beyond >= _least_overlap(a["size"], b["size"])
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Sets travel to the groups of their candidate component: once, unless it is a large one."""
+    near = written(components(pairs).select(F.col("node").alias("uid"), F.col("root").alias("cell")), "jaccard-near")
 
     def does(a: Column, b: Column) -> Column:
         return let(F.size(F.array_intersect(a["tokens"], b["tokens"])), lambda common: DEN * common >= NUM * (a["size"] + b["size"] - common))
 
-    likely = written(_kept(grouped, heads, may).select("a", "b"), "jaccard-likely")
-    near = written(components(likely).select(F.col("node").alias("uid"), F.col("root").alias("cell")), "jaccard-near")
-    return _kept(_grouped(likely, near), sets, does).select("a", "b")
+    return _kept(_grouped(pairs, near), sets, does)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,7 +251,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     shared = entries.withColumn("n", F.expr("count(*) OVER (PARTITION BY token)")).where("n > 1").drop("n")
     shared = written(shared, "jaccard-entries")
     pairs = written(candidate_pairs(shared, boundary), "jaccard-candidates")
-    links = written(verified(pairs, shared, sets), "jaccard-links")
+    links = written(verified(pairs, sets), "jaccard-links")
 
     size_of = classes.select("rep", "n", "first")
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
