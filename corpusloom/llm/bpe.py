@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -132,7 +133,7 @@ class ChunkCache(dict):
     def __init__(self, encode_piece: Callable[[str], list[int]], finish: Callable[[list[int]], object], added: dict[str, int]) -> None:
         super().__init__()
         self.encode_piece, self.finish = encode_piece, finish
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, array] = {}
         self.added = {k: finish([v]) for k, v in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
@@ -141,7 +142,7 @@ class ChunkCache(dict):
         for piece in PIECE.findall(normalised(chunk)):
             got = self.pieces.get(piece)
             if got is None:
-                got = self.encode_piece(byte_level(piece))
+                got = array("i", self.encode_piece(byte_level(piece)))
                 if len(piece) <= CACHED_CHARS:
                     if len(self.pieces) >= CACHED_PIECES:
                         self.pieces.clear()
