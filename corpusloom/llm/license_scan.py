@@ -1,8 +1,8 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line or a sentence of one, a template a set of words. The vocabulary of all templates is
-ordered by document frequency over the whole corpus, rarest first. A block can only reach a template's
-threshold (the share of the template's words that it contains) if it meets one of the template's first
+A block is a sentence, whatever single line ends are in it; blank lines part blocks too. A template is a set
+of words. The vocabulary of all templates is ordered by document frequency over the whole corpus, rarest
+first. A block can only reach a template's threshold (the share of the template's words that it contains) if it meets one of the template's first
 ``size - need + 1`` words (prefix filter), has ``need`` words of the vocabulary (length filter), and if,
 from the meeting word on, both sides have words enough left (positional filter). What passes is verified
 on the whole sets. Only the templates, a constant of this module or the caller's list, are broadcast.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import ascii_lower, table, written
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_BREAK = r"\n|[.!?][\x20\x09-\x0D]"
+BLOCK_BREAK = r"\n[\x20\x09-\x0D]*\n|[.!?][\x20\x09-\x0D]"
 THRESHOLD = 0.9
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 #: (label, text); a label may have several templates.

@@ -338,6 +338,29 @@ def test_license_join_is_exact(spark):
         assert want == set(r["labels"]) - set(r["base_labels"]) or want | set(r["base_labels"]) == set(r["labels"])
 
 
+def wrapped(text, width, lead):
+    import textwrap
+
+    return "Some words before it.\n" + "\n".join(lead + line for line in textwrap.wrap(text, width)) + "\n" + lead + "and more after it"
+
+
+def test_wrapped_templates_are_found(spark):
+    cases = [(label, wrapped(text, width, lead)) for label, text in license_scan.TEMPLATES if label != "mpl-2.0" for width in (20, 45, 72) for lead in ("", " * ")]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, [text for _, text in cases])).collect()}
+    assert [label for i, (label, _) in enumerate(cases) if label not in got[i]["labels"] or got[i]["score"] < 0.9] == []
+    apart = ["Permission is hereby granted, free of charge, to any person\n \nobtaining a copy of this software and associated documentation files, to deal in the Software without restriction"]
+    assert license_scan.scan(docs(spark, apart)).collect()[0]["labels"] == []
+
+
+def test_wrapped_templates_match_sql(spark, tmp_path):
+    texts = [wrapped(text, width, lead) for _, text in license_scan.TEMPLATES for width in (20, 72) for lead in ("", "# ")]
+    docs(spark, texts, extra=False).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (part,) = (tmp_path / "documents.parquet").glob("*.parquet")
+    (tmp_path / "sf").mkdir()
+    part.rename(tmp_path / "sf/documents.parquet")
+    same(license_scan.op9_license_scan(spark, str(tmp_path / "sf")), license_scan.OP9_SQL, str(tmp_path / "sf"))
+
+
 # near duplicates
 
 
