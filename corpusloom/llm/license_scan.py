@@ -1,9 +1,10 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a sentence, whatever single line ends are in it; blank lines part blocks too. A template is a set
-of words. The vocabulary of all templates is ordered by document frequency over the whole corpus, rarest
-first. A block can only reach a template's threshold (the share of the template's words that it contains) if it meets one of the template's first
-``size - need + 1`` words (prefix filter), has ``need`` words of the vocabulary (length filter), and if,
+of words; its text has to be one block by itself. The vocabulary of all templates is ordered by document
+frequency over the whole corpus, rarest first. A block can only reach a template's threshold (the share of
+the template's words that it contains) if it meets one of the template's first ``size - need + 1`` words
+(prefix filter), has ``need`` words of the vocabulary (length filter), and if,
 from the meeting word on, both sides have words enough left (positional filter). What passes is verified
 on the whole sets. Only the templates, a constant of this module or the caller's list, are broadcast.
 
@@ -24,6 +25,8 @@ from corpusloom.llm.common import ascii_lower, table, written
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_BREAK = r"\n[\x20\x09-\x0D]*\n|[.!?][\x20\x09-\x0D]"
+#: A full stop that ends no sentence: before a number, or after a lone letter. It is taken out before texts are cut into blocks.
+INNER_STOP = r"\.([\x00-\x2F\x3A-\x60\x7B-\x7F]+[0-9])", r"([\x00-\x2F\x3A-\x60\x7B-\x7F][a-z])\.([\x20\x09-\x0D])"
 THRESHOLD = 0.9
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 #: (label, text); a label may have several templates.
@@ -88,7 +91,8 @@ def scan(docs: DataFrame, key: str = "doc_id", templates=TEMPLATES, threshold: f
     low = docs.select(key, ascii_lower(F.coalesce("text", F.lit(""))).alias("t"))
     held = low.select(key, "t", words_of(F.col("t")).alias("w"))
     w = F.col("w")
-    blocks = F.transform(F.split("t", BLOCK_BREAK), lambda b: F.array_distinct(words_of(b)))
+    joined = F.regexp_replace(F.regexp_replace("t", INNER_STOP[0], " $1"), INNER_STOP[1], "$1 $2")
+    blocks = F.transform(F.split(joined, BLOCK_BREAK), lambda b: F.array_distinct(words_of(b)))
     met = F.filter(blocks, lambda b: F.arrays_overlap(b, F.lit(rare)))
     found = held.select(
         F.monotonically_increasing_id().alias("_uid"),
@@ -133,6 +137,7 @@ def _sql() -> str:
     places = " UNION ALL ".join(
         f"SELECT row, i - 1 AS i, '{label}' AS label FROM x WHERE w[i:i + {len(p) - 1}] = {list(p)!r}" for label, p in PHRASES.items()
     )
+    joined = rf"regexp_replace(regexp_replace(t, '{INNER_STOP[0]}', ' \1', 'g'), '{INNER_STOP[1]}', '\1 \2', 'g')"
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -141,7 +146,7 @@ WITH d AS (
 ), x AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM v
 ), p AS ({places}
 ), b AS (
-  SELECT row, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(t, '{BLOCK_BREAK}')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM v
+  SELECT row, list_distinct(regexp_extract_all(unnest(regexp_split_to_array({joined}, '{BLOCK_BREAK}')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM v
 ), s(template, label, s) AS (VALUES {values}
 ), m AS (
   SELECT row, label, len(list_intersect(b, s)) / len(s) AS share FROM b, s WHERE len(list_intersect(b, s)) >= ceil({THRESHOLD} * len(s) - 1e-9)

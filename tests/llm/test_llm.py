@@ -352,6 +352,14 @@ def test_wrapped_templates_are_found(spark):
     assert license_scan.scan(docs(spark, apart)).collect()[0]["labels"] == []
 
 
+def test_every_template_gets_its_label(spark):
+    mpl = next(text for label, text in license_scan.TEMPLATES if label == "mpl-2.0")
+    cases = [*license_scan.TEMPLATES, *(("mpl-2.0", wrapped(mpl, width, lead)) for width in (20, 45, 72, 81) for lead in ("", " * "))]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, [text for _, text in cases])).collect()}
+    assert [label for i, (label, _) in enumerate(cases) if label not in got[i]["labels"]] == []
+    assert all(got[i]["score"] == 1 for i in range(len(license_scan.TEMPLATES)))
+
+
 def test_wrapped_templates_match_sql(spark, tmp_path):
     texts = [wrapped(text, width, lead) for _, text in license_scan.TEMPLATES for width in (20, 72) for lead in ("", "# ")]
     docs(spark, texts, extra=False).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
