@@ -41,7 +41,7 @@ def _filtered(spark, d, **more):
 
 
 def corpus_filter(spark, d):
-    return _filtered(spark, d, min_chars=300, max_chars=5000).select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    return _filtered(spark, d, min_chars=300).select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 def corpus_filter_scored(spark, d):
@@ -80,7 +80,7 @@ def dedupe_first(spark, d):
 
 
 def _blocks(spark, d):
-    docs = _filtered(spark, d, min_chars=300, max_chars=5000)
+    docs = _filtered(spark, d, min_chars=300)
     return corpus.pack_in_order(docs.select("doc_id", corpus.char_tokenizer(F.col("text")).alias("ids")), BLOCK)
 
 
@@ -121,7 +121,7 @@ def json_strings(spark, d):
 
 
 _PACK = f"""
-f AS (SELECT doc_id, substr(text, 1, 5000) AS text FROM documents WHERE text IS NOT NULL AND length(text) >= 300),
+f AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) >= 300),
 c AS (SELECT doc_id, list_append(list_transform(regexp_extract_all(text, '(?s).'), lambda x: unicode(x) % 31 + 1), 0) AS ids FROM f),
 o AS (SELECT doc_id, ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
 u AS (SELECT start + unnest(range(0, len(ids))) AS p, unnest(ids) AS id FROM o),
@@ -131,7 +131,7 @@ b AS (SELECT CAST(p // {BLOCK} AS BIGINT) AS block_id, CAST(sum(id) AS BIGINT) A
 QUERIES = {f.__name__: f for f in (corpus_filter, corpus_filter_scored, corpus_first_n, corpus_limit_zero, corpus_truncate, corpus_shuffle, paragraph_split, whitespace_normalize, dedupe_first, pack_blocks, pack_batches, pack_block_stats, ngram_counts, ngram_first_texts, contamination_report, contamination_by_doc, json_strings)}
 
 SQL = {
-    "corpus_filter": "SELECT doc_id, CAST(length(substr(text, 1, 5000)) AS INTEGER) AS chars, md5(substr(text, 1, 5000)) AS digest FROM documents WHERE length(text) >= 300",
+    "corpus_filter": "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM documents WHERE length(text) >= 300",
     "corpus_filter_scored": "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE length(text) >= 300 AND (quality IS NULL OR quality >= 1)",
     "corpus_first_n": "SELECT doc_id FROM documents WHERE length(text) >= 1000 ORDER BY doc_id LIMIT 50",
     "corpus_limit_zero": "SELECT doc_id FROM documents WHERE length(text) >= 1 ORDER BY doc_id LIMIT 1",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chat, contamination, corpus, evals, runs
+from corpusloom.plans import corpus_queries
 from corpusloom.sources import readers
 from corpusloom.streaming.packing import pack_stream
 
@@ -178,3 +179,26 @@ def test_budget_and_padding(spark):
     assert spark.range(1).select(runs.pad_to_multiple(F.lit(101), 64)).collect()[0][0] == 128
     with pytest.raises(TypeError):
         runs.config_row(spark, {"x": 1}, {"y": "int"})
+
+
+def whole_texts(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()}
+    assert any(len(t) > 5000 for t in texts.values())
+    return texts
+
+
+def test_packing_takes_whole_texts(spark, data):
+    size = corpus_queries.BLOCK
+    texts = [t for t in whole_texts(spark, data).values() if len(t) >= 300]
+    ids = [x for t in texts for x in [*(ord(c) % 31 + 1 for c in t), 0]]
+    blocks = [ids[i : i + size] for i in range(0, len(ids) - size + 1, size)]
+    want = [(i, sum(b), sum(x * k for k, x in enumerate(b))) for i, b in enumerate(blocks)]
+    assert sorted(tuple(r) for r in corpus_queries.pack_blocks(spark, data).collect()) == want
+    assert tuple(corpus_queries.pack_block_stats(spark, data).collect()[0]) == (len(want), sum(w[1] for w in want), sum(w[2] for w in want))
+    batches = [want[i : i + 8] for i in range(0, len(want), 8)]
+    assert sorted(tuple(r) for r in corpus_queries.pack_batches(spark, data).collect()) == [(i, len(b), sum(w[1] for w in b)) for i, b in enumerate(batches)]
+
+
+def test_filter_keeps_whole_texts(spark, data):
+    want = {i: len(t) for i, t in whole_texts(spark, data).items() if len(t) >= 300}
+    assert {r["doc_id"]: r["chars"] for r in corpus_queries.corpus_filter(spark, data).collect()} == want
