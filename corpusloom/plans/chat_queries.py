@@ -74,7 +74,7 @@ def sft_render(spark, d):
 
 
 def sft_instructions(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("input"), F.substring("text", 41, 200).alias("output"))
+    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("input"), F.expr("substring(text, 41)").alias("output"))
     return chat.render_sample(rows).where(F.col("sample").isNotNull()).select("doc_id", F.md5("sample.prompt").alias("prompt"), F.length("sample.response").alias("chars"))
 
 
@@ -184,7 +184,7 @@ SELECT count(*) AS size, round(sum(score) / greatest(1, count(*)), 4) AS mean_sc
     "repetition_penalty": f"SELECT doc_id, {_penalty_sql('text')} AS penalty FROM documents",
     "quality_score": f"WITH q AS (SELECT doc_id, {_score_sql(chr(39) + 'a b c' + chr(39), 'text')} AS raw, {_category_sql(chr(39) * 2, 'text')} AS category FROM documents) SELECT doc_id, score, category FROM ({round4_sql('q', 'raw', 'score')})",
     "sft_render": f"WITH {_RENDER} SELECT conv_id, md5(p) AS prompt, md5(r) AS response FROM s",
-    "sft_instructions": f"""WITH x AS (SELECT doc_id, {strip_sql("substr(text, 1, 40)")} AS a, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS b, {strip_sql("substr(text, 41, 200)")} AS c FROM documents)
+    "sft_instructions": f"""WITH x AS (SELECT doc_id, {strip_sql("substr(text, 1, 40)")} AS a, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS b, {strip_sql("substr(text, 41)")} AS c FROM documents)
 SELECT doc_id, md5('### Instruction:' || chr(10) || a || chr(10) || chr(10) || CASE WHEN b <> '' THEN '### Input:' || chr(10) || b || chr(10) || chr(10) ELSE '' END || '### Response:' || chr(10)) AS prompt,
   CAST(length(c) AS INTEGER) AS chars FROM x WHERE a <> '' AND c <> ''""",
     "sft_encode": f"WITH {_RENDER} SELECT conv_id, {_padded('i', '0')} AS input_ids, {_padded('l', '-100')} AS labels, {_padded('list_transform(i, lambda x: 1)', '0')} AS attention_mask FROM f",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chat, contamination, corpus, evals, runs
-from corpusloom.plans import corpus_queries
+from corpusloom.plans import chat_queries, corpus_queries
 from corpusloom.sources import readers
 from corpusloom.streaming.packing import pack_stream
 
@@ -202,3 +202,8 @@ def test_packing_takes_whole_texts(spark, data):
 def test_filter_keeps_whole_texts(spark, data):
     want = {i: len(t) for i, t in whole_texts(spark, data).items() if len(t) >= 300}
     assert {r["doc_id"]: r["chars"] for r in corpus_queries.corpus_filter(spark, data).collect()} == want
+
+
+def test_instructions_take_whole_texts(spark, data):
+    parts = {r["doc_id"]: (r["text"][:40].strip(), r["text"][40:].strip()) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["chars"] for r in chat_queries.sft_instructions(spark, data).collect()} == {i: len(c) for i, (a, c) in parts.items() if a and c}
