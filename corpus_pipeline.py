@@ -31,7 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of smallest doc_id, the first of equals, of each group of linked documents."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    # written, as another scan may be split and so numbered otherwise
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
     keyed = rows.select(F.struct("doc_id", "_row").alias("_key"), "text")
     gone = ngram_join.jaccard_groups(keyed, "_key").where(F.col("_key") != F.col("component_id"))
     gone = written(gone.select("_key._row"), "pipeline-copies")

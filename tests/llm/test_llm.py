@@ -451,6 +451,20 @@ def test_pipeline_stages(spark, data):
     check_packing(last, 2048)
 
 
+def test_copies_go_whatever_the_splits(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i // 2}" for c in "abcdef") for i in range(160)]
+    docs(spark, texts).repartitionByRange(8, "doc_id").write.parquet(str(tmp_path / "d"))
+    got = corpus_pipeline.ngram_jaccard(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # as if cores came in before the last scan
+    try:
+        assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 160, 2))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_pipeline_edges(spark):
     import corpus_pipeline
 
