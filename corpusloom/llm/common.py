@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,22 +18,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """Folder that every executor sees: ``spark.checkpoint.dir``, or, on one machine alone, an own one where it is unset."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
         atexit.register(shutil.rmtree, base[len("file://") :], True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _on_disk(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    files, at = _on_disk(spark, path)
+    files.deleteOnExit(at)
     return path
 
 
@@ -43,20 +50,79 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the table
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for table_ in tables:
+        files, at = _on_disk(table_.sparkSession, table_._loom_path)
+        files.delete(at, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _is_file_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of files with no more than columns chosen and rows filtered."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.children().isEmpty()
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number a row that is the same at each scan, however the files are split between tasks.
+
+    It is the row's place in its Parquet file beside the file's place among all paths (a list that the
+    driver's own index holds as well). Rows from elsewhere are written once with their numbers.
+    """
+    spark = df.sparkSession
+    try:
+        if "_metadata" in map(str.lower, df.columns) or not _is_file_scan(df):
+            raise AnalysisException("no file scan")
+        paths = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+        at = df.select(*own_columns(df), F.col("_metadata.file_path").alias("_loom_file"), F.col("_metadata.row_index").alias("_loom_index"))
+    except AnalysisException:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = spark.createDataFrame([(p, i << 40) for i, p in enumerate(paths)], "_loom_file string, _loom_base long")
+    return at.join(F.broadcast(files), "_loom_file").select(*own_columns(df), (F.col("_loom_base") + F.col("_loom_index")).alias(name))
+
+
+#: Keys that ``join_counted`` broadcasts at most.
+HOT_KEYS, COLD_ROWS = 100_000, 1000
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
-    """Left join of ``rows`` with one row a key, whose column ``n`` is the number of rows that hold it.
+    """Left join of ``rows``, ``total`` of them, with one row a key, whose column ``n`` is the number of rows that hold it.
 
-    Keys of more than a thousandth of ``total`` rows (a thousand keys at most) are broadcast, so that no
-    hot key meets in one task; the others are joined by a shuffle.
+    Rows of hot keys, those of more than COLD_ROWS rows and more than the HOT_KEYS-th part of all, meet
+    their key by broadcast alone (HOT_KEYS keys at most, as counts sum up to ``total``); all others by a
+    shuffled join. ``rows`` is read twice: pass a scan or a written table.
     """
-    hot = max(1000, total // 1000)
-    values = [c for c in counted.columns if c not in key]
-    frequent = counted.where(F.col(n) > hot).select(*key, *(F.col(c).alias(f"_hot_{c}") for c in values))
-    out = rows.join(F.broadcast(frequent), key, "left").join(counted.where(F.col(n) <= hot), key, "left")
-    return out.withColumns({c: F.coalesce(f"_hot_{c}", c) for c in values}).drop(*(f"_hot_{c}" for c in values))
+    hot = F.col(n) > max(COLD_ROWS, total // HOT_KEYS)
+    frequent = F.broadcast(counted.where(hot))
+    there = rows.join(frequent, key)
+    rest = rows.join(F.broadcast(counted.where(hot).select(*key)), key, "left_anti").join(counted.where(~hot), key, "left")
+    return there.unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +145,8 @@ def words(text: Column) -> Column:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, and only where the expression is reached."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+def here(value: Column) -> Column:
+    """``value``, worked out once in this step: no filter that uses it is moved before it, to work it out again."""
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -1,69 +1,75 @@
 """N-gram Jaccard join: a size-aware heavy-light join, in DataFrame operations only.
 
 Texts become sets of word 3-gram hashes; equal sets are one class with a representative, so copies cost
-one row however many there are. All sets are sorted by one global order: rare shingles first, judged by
+one row however many there are. Sets aren't stored, as they are larger than their texts: each step works
+them out from the texts again. All sets are sorted by one global order: rare shingles first, judged by
 their length at first, with those whose inverted lists turn out heavy moved to the end (a fixed-size bit
 map of hash buckets tells them, so the order stays one function of the shingle). Then
 
 * small sets, up to a boundary size, enumerate the 2-subsets of their first ``size - need + 2`` shingles:
   two small sets that link share one of these,
-* the inverted lists of the first ``size - need + 1`` shingles of large sets (and of small ones that are
-  large enough to link with a large one) are scanned for pairs with at least one large set,
+* the inverted lists of the first ``size - need + 1`` shingles are scanned for pairs with at least one
+  large set,
 
-where ``need`` is the least overlap that a set's links can have. The boundary is the one of least
-estimated cost, rows plus pairs, by counts over all lists. Pairs pass size and positional filters, and
-every one left is verified on the whole sets, which travel once to each group of partners, not once a
-pair. Components come from alternating large-star and small-star steps until nothing changes.
+where ``need`` is the least overlap that a set's links can have. Both kinds of lists are counted for all
+sets first; the boundary is the one at which fewest pairs meet, by these counts.
+
+A list of many sets is split into shares, and pairs meet in cells of two shares, so that no list, however
+long, is one task's. A pair is met at its first common shingle, passes size and positional filters, and is
+verified on the whole sets, which travel once to each cell that asks for them. Components come from
+alternating large-star and small-star steps until nothing changes.
 
 Shingles are told apart by 57 bits of hash beside 6 bits of their length, equal sets by 96 bits and size.
 
 Defined results: a text of one or two words has its word sequence as its only shingle; null, empty and
 blank texts have none, no links and their own doc_id as component; every row is a document of its own,
 repeated rows link with each other; a component without any doc_id has a null id; an empty table gives
-an empty table.
+an empty table; columns other than the id and the text are never looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, join_counted, let, table, words, written
+from corpusloom.llm.common import ascii_lower, discard, here, join_counted, let, numbered, quoted, table, words, written
 
 N, NUM, DEN = 3, 70, 100
 #: Lists that are longer than the least power of two from HEAVY on that no more than 1 / MAP_SPARE as many
 #: lists pass as the map of heavy shingles has bits are heavy: their shingles go to the end of the order.
 HEAVY, MAP_BITS, MAP_SPARE = 4, 22, 8
 #: Boundaries between small and large that are weighed.
-BOUNDARIES = (1, 8, 16, 32)
-#: Weight of a pair of a list against a row of one.
-PAIR_COST = 0.25
+BOUNDARIES = (2, 4, 8, 16, 32)
 #: Shared tokens before an entry that it carries.
 PAST = 4
-#: Documents, about, of a cell: partners whose sets travel together.
-CELL = 64
-#: Row numbers that are broadcast at most (8 bytes each); more are joined by a shuffle.
-FEW_ROWS = 1_000_000
+#: Sets, and shingles of sets, of a share of a list, about. A cell holds two shares.
+CELL, CELL_SHINGLES = 64, 1 << 20
+#: Entries of a heavy list that one task counts, about.
+COUNTED = 100_000
+#: Row numbers that are broadcast at most; more are joined by a shuffle.
+FEW_ROWS = 500_000
 _HASH = (1 << 57) - 1
+_NONE = "CAST(array() AS array<bigint>)"
 
 
-def shingles(text: Column) -> Column:
-    """Sorted array of the text's distinct shingles as longs; longer, so likely rarer, shingles first."""
-
-    def code(hashed: Column, size: Column) -> Column:
-        return F.shiftleft((F.lit(63) - F.least(F.lit(63), size)).cast("long"), 57).bitwiseOR(hashed.bitwiseAND(F.lit(_HASH)))
+def with_shingles(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., size, tokens): the sorted distinct shingles of ``text`` as longs; longer, so likely rarer, ones first.
 
-    def of(w: Column) -> Column:
-        part = lambda i: [F.get(w, i + k) for k in range(N)]
-        size = lambda i: sum((F.octet_length(p) for p in part(i)[1:]), F.octet_length(part(i)[0]))
-        many = F.transform(F.sequence(F.lit(0), F.size(w) - N), lambda i: code(F.xxhash64(*part(i)), size(i)))
-        whole = F.array(code(F.xxhash64(F.array_join(w, " "), F.lit("whole")), F.length(F.array_join(w, " "))))
-        none = F.expr("CAST(array() AS array<bigint>)")
-        return F.when(F.size(w) >= N, F.sort_array(F.array_distinct(many))).when(F.size(w) > 0, whole).otherwise(none)
-
-    return let(words(ascii_lower(text)), of)
+    One step a column, as Spark compiles what stands at a step's top level, and only interprets what is in a lambda.
+    """
+    six = F.lit(63).cast("long")
+    size = lambda x: x.bitwiseAND(six)
+    both = lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(~63)).bitwiseOR(F.least(six, size(a) + size(b)))
+    code = lambda a, b: F.shiftleft(six - F.least(six, size(a) + size(b)), 57).bitwiseOR(F.xxhash64(a, b).bitwiseAND(F.lit(_HASH)))
+    split = rows.select(*keep, words(ascii_lower(F.col("text"))).alias("w"))
+    # a word's hash with its length in the low bits
+    hashed = split.select(*keep, F.size("w").alias("n"), F.when(F.size("w") < N, F.array_join("w", " ")).alias("short"), F.transform("w", lambda x: F.shiftleft(F.xxhash64(x), 6).bitwiseOR(F.least(F.lit(63), F.octet_length(x)).cast("long"))).alias("c"))
+    part = lambda c, start, short: F.slice(c, F.lit(start), F.greatest(F.lit(0), F.size(c) - short))
+    twos = hashed.select(*keep, "n", "short", "c", F.zip_with(part("c", 1, 1), part("c", 2, 1), both).alias("d"))
+    threes = twos.select(*keep, "n", "short", F.zip_with(part("d", 1, 1), part("c", 3, 2), code).alias("s"))
+    whole = F.array(F.shiftleft(six - F.least(six, F.length("short").cast("long")), 57).bitwiseOR(F.xxhash64("short", F.lit("whole")).bitwiseAND(F.lit(_HASH))))
+    tokens = F.when(F.col("n") >= N, F.sort_array(F.array_distinct("s"))).when(F.col("n") > 0, whole).otherwise(F.expr(_NONE))
+    return threes.select(*keep, here(tokens).alias("tokens")).select(*keep, F.size("tokens").alias("size"), "tokens")
 
 
 def _need(size: Column) -> Column:
@@ -71,6 +77,16 @@ def _need(size: Column) -> Column:
     return F.ceil(size * F.lit(NUM) / F.lit(DEN) - 1e-9).cast("int")
 
 
+def _ahead(size: Column) -> Column:
+    """Shingles of a set's own lists."""
+    return size - _need(size) + 1
+
+
+def _can_link(size: Column) -> Column:
+    """Whether a set of this size can link with a different one at all."""
+    return DEN * size >= NUM * (size + 1)
+
+
 def _sizes_fit(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
@@ -93,9 +109,9 @@ def heavy_length(lists: DataFrame) -> int:
     return length
 
 
-def heavy_map(lists: DataFrame, length: int) -> list[int] | None:
-    """The bit map of shingles with longer lists as longs, from (token, n); None if there is none."""
-    bits = lists.where(F.col("n") > length).select(_bucket(F.col("token")).alias("b"))
+def heavy_map(heavy: DataFrame) -> list[int] | None:
+    """The bit map of the heavy lists' shingles (token) as longs; None if there is none."""
+    bits = heavy.select(_bucket(F.col("token")).alias("b"))
     word = bits.groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits"))
     got = {r["word"]: r["bits"] for r in word.collect()}  # 2**MAP_BITS / 64 rows at most
     return [got.get(i, 0) for i in range(1 << (MAP_BITS - 6))] if got else None
@@ -115,155 +131,172 @@ def reordered(tokens: Column, length: Column, bits: Column | None) -> Column:
     return let(head, lambda h: F.when(F.exists(h, heavy), F.slice(moved, F.lit(1), length)).otherwise(h))
 
 
-def choose_boundary(lists: DataFrame, sets: DataFrame, length: int) -> int:
-    """The boundary of least cost. ``lists``: token, n, and s_b (sets of at most b) for each boundary b."""
-    light = F.col("n") <= length
-    pairs = {b: F.sum(F.when(light, (F.col("n") * F.col("n") - F.col(f"s_{b}") * F.col(f"s_{b}")) / 2).otherwise(0)) for b in BOUNDARIES}
-    scanned = lists.agg(*(F.coalesce(v, F.lit(0.0)).alias(f"p_{b}") for b, v in pairs.items())).collect()[0]
-    size = F.col("size")
-    ahead = size - _need(size)
-    made = {b: (F.when(size <= b, (ahead + 2) * (ahead + 1) / 2).otherwise(0) + F.when(size * DEN >= NUM * (b + 1), ahead + 1).otherwise(0)) for b in BOUNDARIES}
-    rows = sets.agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(f"r_{b}") for b, v in made.items())).collect()[0]
-    return min(BOUNDARIES, key=lambda b: (rows[f"r_{b}"] + PAIR_COST * scanned[f"p_{b}"], b))
+def entries(sets: DataFrame, bits: Column | None) -> DataFrame:
+    """(token, uid, size, pos, subset): list entries, and the 2-subsets of sets that are small at any boundary."""
+    size, most = F.col("size"), max(BOUNDARIES)
+    first = sets.select("uid", "size", reordered(F.col("tokens"), _ahead(size) + F.when(size <= most, 1).otherwise(0), bits).alias("h"))
+    first = first.withColumn("h", here(F.col("h")))
+    last = F.size("h") - 1
+    two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.xxhash64(F.get("h", i), F.get("h", j)))))
+    full = first.select("uid", "size", F.concat(F.slice("h", F.lit(1), _ahead(size)), F.when(size <= most, two).otherwise(F.expr(_NONE))).alias("h")).withColumn("h", here(F.col("h")))
+    each = full.select("uid", "size", F.posexplode("h").alias("at", "token"))
+    subset = F.col("at") >= _ahead(size)
+    return each.select("token", "uid", "size", F.when(subset, 0).otherwise(F.col("at")).alias("pos"), subset.alias("subset"))
 
 
-def _entries(sets: DataFrame, boundary: int, bits: Column | None) -> DataFrame:
-    """(token, uid, size, pos, subset): list entries and 2-subsets of the sets (uid, size, tokens)."""
+def shared_entries(made: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Entries whose list has others: with its length n and the sizes' sum w.
+
+    ``heavy`` (token, n, w): lists whose bounds are known from the first count. They are counted in parts.
+    """
+    known = heavy.select("token", F.lit(False).alias("subset"), F.col("n").alias("hn"), F.col("w").alias("hw"))
+    salted = made.join(F.broadcast(known), ["token", "subset"], "left")  # MAP_BITS and MAP_SPARE bound the heavy lists
+    salted = salted.withColumn("salt", F.when(F.col("hn") > COUNTED, F.pmod(F.xxhash64("uid"), F.ceil(F.col("hn") / COUNTED))).otherwise(0))
+    over = Window.partitionBy("token", "subset", "salt")
+    counted = salted.withColumns({"n": F.coalesce("hn", F.count("*").over(over)), "w": F.coalesce("hw", F.sum("size").over(over))})
+    return counted.where("n > 1").drop("hn", "hw", "salt")
+
+
+def choose_boundary(shared: DataFrame) -> tuple[int, dict[int, int]]:
+    """The boundary at which fewest pairs meet, and the pairs at each.
+
+    A list's pairs count where one set at least is large, a 2-subset's where both are small.
+    """
     size = F.col("size")
-    ahead = size - _need(size)
-    first = sets.select("uid", "size", reordered(F.col("tokens"), ahead + F.when(size <= boundary, 2).otherwise(1), bits).alias("h"))
-    part = first.select("uid", "size", F.slice("h", F.lit(1), ahead + 1).alias("h")).where(DEN * size >= NUM * (boundary + 1))
-    lists = part.select("uid", "size", F.posexplode("h").alias("pos", "token"), F.lit(False).alias("subset"))
-    last = F.size("h") - 1
-    two = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.xxhash64(F.get("h", i), F.get("h", j)))))
-    small = first.where((size <= boundary) & (size >= 2))
-    subsets = small.select("uid", "size", F.explode(two).alias("token"), F.lit(0).alias("pos"), F.lit(True).alias("subset"))
-    return lists.unionByName(subsets)
+    by = shared.groupBy("token", "subset").agg(F.count("*").cast("double").alias("m"), *(F.count_if(size <= b).cast("double").alias(f"s_{b}") for b in BOUNDARIES))
+    pairs = lambda x: x * (x - 1) / 2
+    cost = {b: F.when(F.col("subset"), pairs(F.col(f"s_{b}"))).otherwise(pairs(F.col("m")) - pairs(F.col(f"s_{b}"))) for b in BOUNDARIES}
+    got = by.agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(str(b)) for b, v in cost.items())).collect()[0]
+    return min(BOUNDARIES, key=lambda b: (got[str(b)], b)), {b: int(got[str(b)]) for b in BOUNDARIES}
 
 
-def candidate_pairs(entries: DataFrame, boundary: int) -> DataFrame:
-    """Distinct (a, b), a < b, of entries that share a token and pass the filters.
+def candidate_pairs(shared: DataFrame, boundary: int) -> DataFrame:
+    """(a, b, cell), a < b, once for each pair of entries' sets that share a token and pass the filters.
 
     An entry carries the shared tokens just before it. Where two entries have one of these in common, the
     pair meets there already, so near copies, whose whole lists coincide, are paired about once. A pair's
     first common token has none before it in common, and there the filters hold for every link.
     """
+    large = (F.col("size") > boundary) | (DEN * F.col("size") >= NUM * (boundary + 1))
+    used = shared.where(F.when(F.col("subset"), F.col("size") <= boundary).otherwise(large))
     before = Window.partitionBy("uid", "subset").orderBy("pos", "token")
-    past = entries.withColumn("past", F.array_compact(F.array(*(F.lag("token", i).over(before) for i in range(1, PAST + 1)))))
-    past = past.withColumn("past", F.when(F.col("subset"), F.expr("CAST(array() AS array<bigint>)")).otherwise(F.col("past")))
-    a, b = (past.select("token", "subset", *(F.col(c).alias(c + x) for c in ("uid", "size", "pos", "past"))) for x in "ab")
+    past = F.array_compact(F.array(*(F.lag("token", i).over(before) for i in range(1, PAST + 1))))
+    used = used.withColumn("past", past).withColumn("past", F.when(F.col("subset"), F.expr(_NONE)).otherwise(F.col("past")))
+    shares = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL), F.least(F.col("n"), F.ceil(F.col("w") / CELL_SHINGLES)))
+    placed = used.withColumn("k", shares.cast("int")).withColumn("share", F.pmod(F.xxhash64("uid"), F.col("k")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    placed = placed.withColumns({"lo": F.least("share", "other"), "hi": F.greatest("share", "other")})
+    cell = ["token", "subset", "lo", "hi"]
+    a, b = (placed.select(*cell, *(F.col(c).alias(c + x) for c in ("uid", "size", "pos", "past", "share"))) for x in "ab")
     sa, sb = F.col("sizea"), F.col("sizeb")
     rest = 1 + F.least(sa - F.col("posa"), sb - F.col("posb")) - 1
     fit = F.col("subset") | (((sa > boundary) | (sb > boundary)) & (rest >= _least_overlap(sa, sb)) & ~F.arrays_overlap("pasta", "pastb"))
-    pairs = a.join(b, ["token", "subset"]).where((F.col("uida") < F.col("uidb")) & _sizes_fit(sa, sb) & fit)
-    return pairs.select(F.col("uida").alias("a"), F.col("uidb").alias("b")).distinct()
-
+    here = (F.col("lo") == F.col("hi")) | (F.col("sharea") != F.col("shareb"))
+    met = a.join(b, cell).where((F.col("uida") < F.col("uidb")) & here & _sizes_fit(sa, sb) & fit)
+    return met.groupBy(F.col("uida").alias("a"), F.col("uidb").alias("b")).agg(F.min(F.struct(*cell)).alias("cell"))
 
-def _kept(grouped: DataFrame, sets: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
-    """The pairs (a, b) of groups (g1, g2, a, b) whose sets (uid, size, tokens) fulfil ``ok``.
 
-    A group gets each of its sets once, however many of its pairs it is in.
-    """
-    there = grouped.select("g1", "g2", F.explode(F.array("a", "b")).alias("uid")).distinct()
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, cell) that link, from ``texts`` (uid, text). A cell gets each of its sets once."""
+    there = written(pairs.select("cell", F.explode(F.array("a", "b")).alias("uid")).distinct(), "jaccard-there")
     wanted = there.select("uid").distinct()
-    few = wanted.count() <= FEW_ROWS
-    own = sets.select("uid", "size", "tokens").join(F.broadcast(wanted) if few else wanted, "uid", "left_semi")
-    held = there.join(own, "uid").groupBy("g1", "g2").agg(F.collect_list(F.struct("uid", "size", "tokens")).alias("s"))
-    asked = grouped.groupBy("g1", "g2").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+    few = there.count() <= FEW_ROWS
+    hint = F.broadcast if few else (lambda x: x)
+    own = with_shingles(texts.join(hint(wanted), "uid", "left_semi"), "uid")
+    held = own.join(hint(there), "uid").groupBy("cell").agg(F.collect_list(F.struct("uid", "size", "tokens")).alias("s"))
+    asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+
+    def does(a: Column, b: Column) -> Column:
+        return let(F.size(F.array_intersect(a["tokens"], b["tokens"])), lambda common: DEN * common >= NUM * (a["size"] + b["size"] - common))
 
     def links(s: Column, p: Column) -> Column:
         def one(ids: Column, x: Column) -> Column:
             at = lambda uid: F.get(s, (F.array_position(ids, uid) - 1).cast("int"))
-            return let(F.struct(at(x["a"]).alias("a"), at(x["b"]).alias("b")), lambda t: ok(t["a"], t["b"]))
+            return let(F.struct(at(x["a"]).alias("a"), at(x["b"]).alias("b")), lambda t: does(t["a"], t["b"]))
 
         return let(F.transform(s, lambda x: x["uid"]), lambda ids: F.filter(p, lambda x: one(ids, x)))
 
-    return asked.join(held, ["g1", "g2"]).select(F.explode(links(F.col("s"), F.col("p"))).alias("x")).select("x.a", "x.b")
-
-
-def _grouped(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their group (g1, g2): the shares of the cells (uid, cell) that their sets are in.
-    A share has about CELL sets, so a group has about twice as many."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    placed = join_counted(cells, sizes, ["cell"], "n", 0)
-    placed = written(placed.select("uid", "cell", F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / CELL)).alias("share")), "jaccard-cells")
-    ends = [placed.select(F.col("uid").alias(x), F.struct("cell", "share").alias("c" + x)) for x in "ab"]
-    met = pairs.join(ends[0], "a").join(ends[1], "b")
-    low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
-    return written(met.select("a", "b", F.xxhash64(low, high).alias("g1"), F.hash(low, high).alias("g2")), "jaccard-groups")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Sets travel to the groups of their candidate component: once, unless it is a large one."""
-    near = written(components(pairs).select(F.col("node").alias("uid"), F.col("root").alias("cell")), "jaccard-near")
-
-    def does(a: Column, b: Column) -> Column:
-        return let(F.size(F.array_intersect(a["tokens"], b["tokens"])), lambda common: DEN * common >= NUM * (a["size"] + b["size"] - common))
-
-    return _kept(_grouped(pairs, near), sets, does)
+    out = written(asked.join(held, "cell").select(F.explode(links(F.col("s"), F.col("p"))).alias("x")).select("x.a", "x.b"), "jaccard-links")
+    discard(there)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b); root is its component's least node."""
+    """(node, root) of every node of the links (a, b), a written table; root is its component's least node."""
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "components")
-    before = None
+    state = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).collect()[0])
+    now = state()
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "v"))
         # large star: larger neighbours of v meet v's least neighbour
-        large = join_counted(both.where("u > v"), least, ["v"], "n", 0).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = written(join_counted(both.where("u > v"), least, ["v"], "n", 2 * now[0]).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "components")
         # small star: v and its smaller neighbours meet the least of them
         least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        met = join_counted(large, least, ["v"], "n", 0)
+        met = join_counted(large, least, ["v"], "n", now[0])
         small = met.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = written(small, "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).collect()[0]
+        old, edges = edges, written(small, "components")
+        discard(old, large)
+        before, now = now, state()
         if now == before:
             break
-        before = now
     roots = edges.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
-    return roots.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    out = written(roots.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()), "jaccard-roots")
+    discard(edges)
+    return out
+
 
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", uid: str | None = None, boundary: int | None = None) -> DataFrame:
+    """(key, n_shingles, n_similar, component_id) of every row.
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, n_similar, component_id) of every row."""
+    ``uid`` names a column of row numbers that any scan of docs repeats; rows are numbered here without one.
+    ``boundary`` replaces the one chosen by cost.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), shingles(F.col("text")).alias("tokens"))
-    rows = written(rows.select("uid", "key", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("f1"), F.hash("tokens").alias("f2"), "tokens"), "jaccard-sets")
-    print_, total = ["f1", "f2", "size"], rows.count()
-    some = rows.where("size > 0")
+    rows = docs.select(F.col(quoted(key)).alias("key"), F.col("text"), *([F.col(quoted(uid)).alias("uid")] if uid else []))
+    rows = rows if uid else numbered(rows, "uid")
+    print_ = ["f1", "f2", "size"]
+    member = with_shingles(rows, "uid", "key").select("uid", "key", "size", F.xxhash64("tokens").alias("f1"), F.hash("tokens").alias("f2"))
+    member = written(member, "jaccard-members")
+    total, some = member.count(), member.where("size > 0")
     classes = written(some.groupBy(*print_).agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.min("key").alias("first")), "jaccard-classes")
-    member = written(join_counted(some.select("uid", "key", *print_), classes, print_, "n", total).select("uid", "key", "size", "rep", "n"), "jaccard-members")
-
-    copies = member.where("uid <> rep").select("uid")
-    few = copies.count() <= FEW_ROWS
-    sets = rows.select("uid", "size", "tokens").where("size > 0").join(F.broadcast(copies) if few else copies, "uid", "left_anti")
-
-    ahead = F.col("size") - _need(F.col("size")) + 1
-    drawn = sets.select("size", F.explode(F.slice("tokens", F.lit(1), ahead)).alias("token"))
-    lists = drawn.groupBy("token").agg(F.count("*").alias("n"), *(F.count_if(F.col("size") <= b).alias(f"s_{b}") for b in BOUNDARIES)).where("n > 1")
-    lists = written(lists, "jaccard-lists")
-    length = heavy_length(lists)
-    boundary = choose_boundary(lists, classes, length)
-    map_ = heavy_map(lists, length)
+
+    # a text a class: all without the copies if they are few, else with the first of each by a shuffle into a table
+    reps, texts, held = classes.select(F.col("rep").alias("uid")), rows.select("uid", "text"), []
+    if total - classes.count() <= FEW_ROWS:
+        texts = texts.join(F.broadcast(member.select("uid").join(reps, "uid", "left_anti")), "uid", "left_anti")
+    else:
+        texts = written(texts.join(reps, "uid", "left_semi"), "jaccard-texts")
+        held.append(texts)
+    sets = with_shingles(texts, "uid")
+    sets = sets.where(_can_link(F.col("size")))
+
+    drawn = sets.select("size", F.explode(F.slice("tokens", F.lit(1), _ahead(F.col("size")))).alias("token"))
+    lists = written(drawn.groupBy("token").agg(F.count("*").alias("n"), F.sum("size").alias("w")).where("n > 1"), "jaccard-lists")
+    heavy = lists.where(F.col("n") > heavy_length(lists))
+    map_ = heavy_map(heavy)
     bits = F.lit(None) if map_ is None else spark.createDataFrame([(map_,)], "bits array<long>").scalar()
-    entries = _entries(sets.withColumn("bits", bits), boundary, None if map_ is None else F.col("bits"))
-    shared = entries.withColumn("n", F.expr("count(*) OVER (PARTITION BY token)")).where("n > 1").drop("n")
-    shared = written(shared, "jaccard-entries")
-    pairs = written(candidate_pairs(shared, boundary), "jaccard-candidates")
-    links = written(verified(pairs, sets), "jaccard-links")
+    made = entries(sets.withColumn("bits", bits), None if map_ is None else F.col("bits"))
+    shared = written(shared_entries(made, heavy), "jaccard-entries")
+    discard(lists)
+    pairs = written(candidate_pairs(shared, choose_boundary(shared)[0] if boundary is None else boundary), "jaccard-candidates")
+    discard(shared)
+    links = verified(pairs, texts)
+    discard(pairs, *held)
 
     size_of = classes.select("rep", "n", "first")
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ways.join(size_of.select(F.col("rep").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
-    root = written(components(links), "jaccard-roots").withColumnRenamed("node", "rep")
+    roots = components(links)
+    root = roots.withColumnRenamed("node", "rep")
     named = root.join(size_of, "rep").groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("m"))
-    component = join_counted(root, named, ["root"], "m", 0).select("rep", "component")
-    about = size_of.join(others, "rep", "left").join(component, "rep", "left")
-    about = about.select("rep", "n", F.coalesce("linked", F.lit(0)).alias("linked"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component")).alias("component"))
-    out = join_counted(member.drop("n"), about, ["rep"], "n", total)
+    component = join_counted(root, named, ["root"], "m", total).select("rep", "component")
+    about = classes.join(others, "rep", "left").join(component, "rep", "left")
+    about = written(about.select(*print_, "n", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "first").alias("component")), "jaccard-about")
+    discard(classes, links, roots)
+    out = join_counted(some, about, print_, "n", total)
     full = out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), (F.col("n") - 1 + F.col("linked")).cast("long").alias("n_similar"), F.col("component").alias("component_id"))
-    none = rows.where("size = 0").select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("key").alias("component_id"))
+    none = member.where("size = 0").select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("key").alias("component_id"))
     return full.unionByName(none)
 
 
