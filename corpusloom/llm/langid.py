@@ -6,8 +6,9 @@ window and a softmax give a window's languages; a text's is the softmax of its w
 probabilities, weighted by their bytes. As inputs are bytes, a filter is a table row for each of its
 places, so a convolution is a sum of look-ups, and the gradient touches only each maximum's own bytes.
 
-Training takes a bounded sample: about ``DOCS_PER_LANGUAGE`` labelled rows of each language, chosen by a
-hash, and ``WINDOWS_PER_DOC`` windows of each.
+Training takes a bounded sample of rows: about ``DOCS_PER_LANGUAGE`` labelled ones of each language, chosen
+by a hash, with all windows of their whole texts. On demand a further class, ``NOISE``, is learned from the
+same windows with their letters in random order; a text for which it is the likeliest is of no learned language.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if no
 row is labelled. With one label all others get it, with score 1. Rows without doc_id are neither trained
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 600, 4
+DOCS_PER_LANGUAGE = 150
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-UNKNOWN = "und"
+UNKNOWN, NOISE = "und", "?"
 #: Windows convolved at once.
 BATCH = 256
 _PAD = 256
@@ -70,6 +71,23 @@ class ByteCnn:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy, by tables, dense and bias."""
+        h, at = self.pooled(x, where=True)
+        z = h @ self.dense + self.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        back = (p @ self.dense.T) * (h > 0)
+        grads = []
+        for k, t in enumerate(self.tables):
+            g, m = np.zeros_like(t), t.shape[1]
+            np.add.at(g, (np.take_along_axis(x, at[:, :m] + k, 1), np.arange(m)[None, :]), back[:, :m])
+            g[_PAD] = 0
+            grads.append(g)
+        return [*grads, h.T @ p, p.sum(0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 5, rate: float = 0.004, batch: int = 64) -> ByteCnn:
         """Adam over shuffled batches."""
         params = [*self.tables, self.dense, self.bias]
@@ -77,24 +95,8 @@ class ByteCnn:
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
-                xs, ys = x[order[i : i + batch]], y[order[i : i + batch]]
-                h, at = self.pooled(xs, where=True)
-                z = h @ self.dense + self.bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(ys)), ys] -= 1
-                p /= len(ys)
-                back = (p @ self.dense.T) * (h > 0)
-                grads = []
-                for k, t in enumerate(self.tables):
-                    g = np.zeros_like(t)
-                    m = t.shape[1]
-                    np.add.at(g, (np.take_along_axis(xs, at[:, :m] + k, 1), np.arange(m)[None, :]), back[:, :m])
-                    g[_PAD] = 0
-                    grads.append(g)
-                grads += [h.T @ p, p.sum(0)]
                 step += 1
-                for q, g, a, b in zip(params, grads, mean, square):
+                for q, g, a, b in zip(params, self.gradients(x[order[i : i + batch]], y[order[i : i + batch]]), mean, square):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     q -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
@@ -111,23 +113,24 @@ def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(n, WINDOW), weights
 
 
-def train_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", seed: int = 11) -> ByteCnn | None:
-    """A model of the languages in ``label_col``; None without labelled texts that hold a letter."""
+def train_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", seed: int = 11, noise: bool = False) -> ByteCnn | None:
+    """A model of the languages in ``label_col``, and of NOISE on demand; None without labelled texts that hold a letter."""
     t = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), F.col(text_col).alias("t"))
     counts = {r["y"]: r["n"] for r in t.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return None
     share = F.element_at(F.create_map(*(F.lit(v) for y, n in counts.items() for v in (y, min(1.0, DOCS_PER_LANGUAGE / n)))), F.col("y"))
-    drawn = t.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("id", "y", letters(F.col("t")).alias("t"))
-    room = F.greatest(F.lit(1), F.length("t") - WINDOW)
-    part = [F.substring(F.col("t"), (F.pmod(F.xxhash64("id", F.lit(j)), room) + 1).cast("int"), F.lit(WINDOW)) for j in range(WINDOWS_PER_DOC)]
-    rows = drawn.select("y", F.array(*part).alias("parts")).collect()  # DOCS_PER_LANGUAGE rows a language, about
+    drawn = t.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("y", letters(F.col("t")).alias("t"))
+    rows = sorted((r["t"], r["y"]) for r in drawn.collect())  # DOCS_PER_LANGUAGE rows a language, about
     languages = sorted(counts)
-    pairs = sorted((p.encode()[:WINDOW], languages.index(r["y"])) for r in rows for p in r["parts"] if p.strip())
     rng = np.random.default_rng(seed)
-    model = ByteCnn.blank(languages, rng)
-    if len(languages) > 1 and pairs:
-        model.train(np.concatenate([windows(d)[0] for d, _ in pairs]), np.array([y for _, y in pairs]), rng)
+    model = ByteCnn.blank(languages + [NOISE] * noise, rng)
+    if len(model.languages) > 1 and rows:
+        parts = [(windows(text.encode())[0], languages.index(y)) for text, y in rows]
+        if noise:
+            scrambled = ["".join(rng.permutation(list(text))) for text, _ in rows[:: len(languages)]]
+            parts += [(windows(text.encode())[0], len(languages)) for text in scrambled]
+        model.train(np.concatenate([x for x, _ in parts]), np.repeat([y for _, y in parts], [len(x) for x, _ in parts]), rng)
     return model
 
 
@@ -178,9 +181,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def trained_on(docs: DataFrame) -> ByteCnn | None:
+def trained_on(docs: DataFrame, noise: bool = False) -> ByteCnn | None:
     """The model of all labelled documents that aren't held out."""
-    return train_model(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return train_model(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), noise=noise)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
