@@ -8,7 +8,8 @@ lost or repeated attempts are never read.
 ``read_archives`` checks every record: the gzip trailer, the version line, the length, and the block's
 and payload's digests. After a failed check it searches on for the next gzip member or version line that
 passes them all, goes on from there, and logs the bytes between as a quarantined gap. Archives without
-compression are read as well. Memory holds one record and a search window.
+compression are read as well. Memory holds one record, as long as its header says, and a search window.
+Gaps are rows of the result; ``quarantined`` keeps them in a table of their own.
 
 Defined results: null html is an empty payload, a null url gives no target; pages of a null id are
 always responses and refer to nothing; pages that share the smallest id of a payload are all responses;
@@ -31,6 +32,8 @@ from corpusloom.llm.common import fresh_path, join_counted, table, written
 
 #: Compressed bytes after which a task begins its next file; bytes read at once.
 FILE_BYTES, WINDOW = 64 << 20, 1 << 18
+#: A header that is longer counts as damaged.
+HEADER_BYTES = 1 << 18
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,8 +73,7 @@ def first_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
 def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> DataFrame:
     """Writes pages (page_id, url, html); returns the manifest (path, records, bytes).
 
-    Payloads of more than a thousandth of all rows, a thousand at most, meet their pages by broadcast;
-    all others by a shuffled join, where no key holds more than that share.
+    Pages of the most frequent payloads meet their first page by broadcast, all others by a shuffled join.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
@@ -137,37 +139,50 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
+def _whole(data: bytes | bytearray) -> tuple[int, int] | None:
+    """Where the header of a record ends and where the record does; None while the header isn't there in full."""
+    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    if end < 0:
+        if len(data) >= HEADER_BYTES:
+            raise Damaged("the header has no end")
+        return None
+    length = _headers(bytes(data[:end])).get("content-length", "")
+    if not length.isdecimal():
+        raise Damaged("there is no length")
+    return end + 4, end + 4 + int(length) + 4
+
+
 def _member(source: _Source, pos: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``pos``, and where it ends."""
-    unpack, parts = zlib.decompressobj(wbits=31), []
+    """The content of the gzip member at ``pos``, and where it ends. No more is unpacked than its record's header says."""
+    unpack, out, most = zlib.decompressobj(wbits=31), bytearray(), None
+    data = b""
     try:
         while not unpack.eof:
-            data = source.at(pos, WINDOW)
             if not data:
-                raise Damaged("the member is cut short")
-            parts.append(unpack.decompress(data))
-            pos += len(data) - len(unpack.unused_data)
+                data = source.at(pos, WINDOW)
+                pos += len(data)
+                if not data:
+                    raise Damaged("the member is cut short")
+            out += unpack.decompress(data, WINDOW)
+            data = unpack.unconsumed_tail
+            if not out.startswith(VERSION[: len(out)]):
+                raise Damaged("there is no version line")
+            most = most or _whole(out)
+            if most and len(out) > most[1]:
+                raise Damaged("the length is wrong")
     except zlib.error as error:
         raise Damaged(f"the member is damaged: {error}") from error
-    return b"".join(parts), pos
+    return bytes(out), pos - len(unpack.unused_data)
 
 
 def _plain(source: _Source, pos: int) -> tuple[bytes, int]:
     """The uncompressed record at ``pos``, and where it ends."""
-    head = b""
-    while b"\r\n\r\n" not in head:
-        part = source.at(pos + len(head), WINDOW)
-        if not part:
-            raise Damaged("the header is cut short")
-        head += part
-    end = head.index(b"\r\n\r\n") + 4
-    length = _headers(head[:end]).get("content-length", "")
-    if not length.isdecimal():
-        raise Damaged("there is no length")
-    total = end + int(length) + 4
-    if pos + total > source.size:
+    bounds = _whole(source.at(pos, HEADER_BYTES))
+    if bounds is None:
+        raise Damaged("the header is cut short")
+    if pos + bounds[1] > source.size:
         raise Damaged("the block is cut short")
-    return source.at(pos, total), pos + total
+    return source.at(pos, bounds[1]), pos + bounds[1]
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -262,11 +277,18 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 _ARROW = pa.schema([(n, _KINDS[t]) for n, t in (f.split() for f in READ_SCHEMA.split(", "))])
 
 
+def quarantined(read: DataFrame) -> DataFrame:
+    """The log of gaps (path, offset, size, problem) of what read_archives gave, as a written table."""
+    return written(read.where("problem IS NOT NULL").select("path", "offset", "size", "problem"), "warc-gaps")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records read back; gaps, of which archives just written should have none, are logged in a table beside."""
     manifest = write_archives(table(spark, sf_dir, "pages"))
     files = manifest.repartition(max(1, manifest.count()))
-    got = read_archives(files, payloads=False).where("problem IS NULL")
-    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = written(read_archives(files, payloads=False).drop("payload", "target"), "warc-read")
+    quarantined(got)
+    return got.where("problem IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """
