@@ -48,6 +48,12 @@ def label_rule(word: str) -> Rule:
     return Rule(word, "block", rf"(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|$)", (word,), 0)
 
 
+def pair_rule(word: str, other: str) -> Rule:
+    """Blocks hosts with ``word`` as a whole part whose path holds ``other`` as a whole token."""
+    part = rf"(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?/"
+    return Rule(f"{word}+{other}", "block", rf"{part}(?:.*[^A-Za-z0-9])?{re.escape(other)}(?![A-Za-z0-9])", (word, other), 0)
+
+
 BASE_RULES = (
     prefix_rule("allow", "com", "/"),
     prefix_rule("block", "example.com", "/en/"),
@@ -57,7 +63,8 @@ BASE_RULES = (
 )
 #: The method's own rules, used where no base rule fits.
 BLOCK_WORDS = ("adult", "ads", "bets", "betting", "casino", "escort", "pills", "porn", "spam", "warez", "xxx")
-METHOD_RULES = tuple(map(label_rule, BLOCK_WORDS))
+BLOCK_PAIRS = (("blog", "sponsored"), ("forum", "login"), ("loans", "payday"), ("news", "advert"), ("shop", "cart"), ("slots", "bonus"), ("torrent", "download"))
+METHOD_RULES = (*map(label_rule, BLOCK_WORDS), *(pair_rule(*p) for p in BLOCK_PAIRS))
 DEFAULT_VERDICT = "allow"
 
 
@@ -78,8 +85,9 @@ def token_counts(urls: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
     address = F.regexp_extract("url", r"://([^?#]*)", 1)
     host = F.lower(F.substring_index(address, "/", 1))
     tokens = F.regexp_extract_all(F.concat(host, F.lit(" "), address), F.lit(TOKEN), 0)
-    found = urls.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").count()
-    return {r["token"]: r["count"] for r in found.join(known, "token", "left_semi").collect()}
+    each = urls.select(F.explode(F.array_distinct(tokens)).alias("token"))
+    found = each.join(F.broadcast(known), "token", "left_semi").groupBy("token").count()  # the caller's rules, whatever the table
+    return {r["token"]: r["count"] for r in found.collect()}
 
 
 def build_index(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str, list[int]]:
@@ -120,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", sh
                     if at:
                         fetched = {i for t in {"", *re.findall(TOKEN, at)} for i in index.get(t, ())}
                         for i in fetched:
-                            pattern = compiled.get(i) or compiled.setdefault(i, re.compile(part[i].regex))
+                            pattern = compiled.get(i) or compiled.setdefault(i, re.compile(part[i].regex, re.DOTALL))
                             if pattern.match(at):
                                 best = _better(best, (part[i].rank, part[i].verdict, part[i].name))
                     rows.append((host, path, *(best or (None, None, None))))
@@ -164,6 +172,7 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN regexp_matches(host, '(^|[.-])({"|".join(BLOCK_WORDS)})([.-]|$)') THEN 'block' ELSE '{DEFAULT_VERDICT}' END AS verdict
+       WHEN regexp_matches(host, '(^|[.-])({"|".join(BLOCK_WORDS)})([.-]|$)') THEN 'block'
+       WHEN {" OR ".join(f"(regexp_matches(host, '(^|[.-]){a}([.-]|$)') AND regexp_matches(path, '[^A-Za-z0-9]{b}([^A-Za-z0-9]|$)'))" for a, b in BLOCK_PAIRS)} THEN 'block' ELSE '{DEFAULT_VERDICT}' END AS verdict
 FROM r
 """
