@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
 A rule is an expression that holds for documents to reject. On a bounded sample each rule's cost (the
-time it takes over the sample) and its selectivity (the share that it rejects) are estimated; rules then
+time it takes over the sample beyond that of reading it) and its selectivity (the share that it rejects) are estimated; rules then
 run by falling rejection per cost as branches of one CASE, so that a document pays for no rule after the
-first that rejects it. The order never changes which documents are kept.
+first that rejects it. The order never changes which documents are kept. ``judge`` runs base rules in the
+cascade too; the query needs their counts of every document, so its cascade holds the method's own rules.
 
 Defined results: null or empty text has no words and fails ``few_words``. Window repeats are found by
 64-bit hashes and settled on the windows' own words. Repeated rows are judged alike; an empty table
@@ -18,10 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, table, words, written
+from corpusloom.llm.common import discard, let, table, words, written
 
 #: Rows, at most about, of the sample on which rules are costed.
 SAMPLE_ROWS = 1000
+#: Timed runs of a rule over the sample.
+COST_RUNS = 2
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
@@ -89,12 +92,22 @@ def order_rules(docs: DataFrame, rules: dict[str, Rule], rows: int = SAMPLE_ROWS
     if not total:
         return rules
     sample = written(docs.sample(fraction=min(1.0, rows / total), seed=7), "quality-sample")
-    sample.select(F.count("w")).collect()  # opens the files
+
+    def cost(*asked: Column) -> tuple[float, int]:
+        """The least seconds of several runs over the sample, the first of which compiles, and the last count."""
+        took = []
+        for _ in range(COST_RUNS + 1):
+            begun = time.perf_counter()
+            got = sample.agg(F.count("w"), F.count("text"), *asked).collect()[0]
+            took.append(time.perf_counter() - begun)
+        return min(took[1:]), got[-1]
+
+    idle, _ = cost()
     worth = {}
     for name, rejects in rules.items():
-        begun = time.perf_counter()
-        rejected = sample.agg(F.count_if(rejects(F.col("w"), F.col("text")))).collect()[0][0]
-        worth[name] = rejected / max(1e-6, time.perf_counter() - begun)
+        seconds, rejected = cost(F.count_if(rejects(F.col("w"), F.col("text"))))
+        worth[name] = rejected / max(1e-4, seconds - idle)
+    discard(sample)
     return {name: rules[name] for name in sorted(rules, key=lambda n: (-worth[n], n))}
 
 
