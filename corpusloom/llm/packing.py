@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import ChunkCache, vocabulary_path
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import numbered, table, written
 
 CAPACITY, END_ID = 2048, 0
 #: Rows of one numbering group.
@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     Pieces of full length get a sequence of their own, numbered below zero by their place in the table.
     """
     spark = pieces.sparkSession
-    placed = pieces.withColumn("_uid", F.monotonically_increasing_id())
+    placed = numbered(pieces, "_uid")
     full = placed.where(F.col(length_col) == capacity).withColumns({"sequence_id": -1 - F.col("_uid"), "offset": F.lit(0).cast("long")}).drop("_uid")
     part = placed.where(F.col(length_col) < capacity)
     counts = {r[0]: r[1] for r in part.groupBy(F.col(length_col).cast("int")).count().collect()}  # fewer rows than capacity
