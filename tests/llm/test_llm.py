@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, catalog, chat_format, langid, license_scan, ngram_join, packing, quality, topk, url_filter, warc
+from corpusloom.llm import bpe, catalog, chat_format, common, langid, license_scan, ngram_join, packing, quality, topk, url_filter, warc
 from tests.oracle import same
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,6 +159,14 @@ def test_url_edges(spark):
     assert url_filter.judge_urls(frame.limit(0), url_filter.BASE_RULES).count() == 0
 
 
+def test_url_pairs_and_repeats(spark):
+    long = "http://a.org/" + "x/" * 50_000
+    urls = ["http://shop.a.org/en/cart?x", "http://shop.a.org/carts", "http://workshop.org/cart", "http://b-shop.io/cart/1", long, long, "http://shop.a.org/en/cart?x"]
+    frame = spark.createDataFrame([(i % 6, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = [(r["rule"], r["verdict"]) for r in url_filter.judge_urls(frame.coalesce(1), url_filter.METHOD_RULES).collect()]
+    assert got == [("shop+cart", "block"), (None, None), (None, None), ("shop+cart", "block"), (None, None), (None, None), ("shop+cart", "block")]
+
+
 def test_rules_stand_under_their_rarest_token():
     index = url_filter.build_index(url_filter.BASE_RULES, {"com": 9, "en": 5, "www": 2, "net": 1, "es": 3})
     assert index["example"] == [1, 2] and index["com"] == [0] and index["net"] == [3] and index["fr"] == [4]
@@ -218,6 +226,20 @@ def test_salvage(spark, tmp_path, plain):
     assert at == len(data) and sum(x["problem"] is not None for x in got) == 4
 
 
+def test_salvage_reads_no_more_than_a_record(spark, tmp_path):
+    """A header without an end, and a member that unpacks far beyond its record, are gaps; what follows is read."""
+    good = members([(1, b"one"), (2, b"two")])
+    packer = zlib.compressobj(9, wbits=31)
+    bomb = packer.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\n" + bytes(50 << 20)) + packer.flush()
+    data = good[0] + bomb + b"WARC/1.1\r\n" + b"x: y\r\n" * 60000 + good[1]
+    (tmp_path / "b.warc.gz").write_bytes(data)
+    got = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/b.warc.gz",)], "path string"))
+    rows = got.orderBy("offset").collect()
+    assert [r["page_id"] for r in rows] == [1, None, 2] and sum(r["size"] for r in rows) == len(data)
+    gaps = warc.quarantined(got).collect()
+    assert [(r["offset"], r["size"]) for r in gaps] == [(len(good[0]), len(data) - len(good[0]) - len(good[1]))]
+
+
 # quality rules
 
 
@@ -270,6 +292,50 @@ def test_language_edges(spark):
     assert langid.predict(frame.limit(0), only).count() == 0
 
 
+def test_network_is_brute_force():
+    """Convolution, pooling and gradients against loops and finite differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = langid.ByteCnn.blank(["a", "b", "c"], rng)
+    model.tables = [t.astype(np.float64) for t in model.tables]
+    model.dense, model.bias = model.dense.astype(np.float64), model.bias.astype(np.float64)
+    x, y = rng.integers(0, 257, (5, 20)), np.array([0, 1, 2, 1, 0])
+    n = 20 - len(model.tables) + 1
+    slow = [[max(0.0, max(sum(t[row[i + k], f] for k, t in enumerate(model.tables) if f < t.shape[1]) for i in range(n))) for f in range(model.dense.shape[0])] for row in x]
+    assert np.allclose(model.pooled(x)[0], slow)
+    loss = lambda: -model.log_probabilities(x)[np.arange(5), y].mean()
+    grads = model.gradients(x, y)
+    for param, grad in zip([*model.tables, model.dense, model.bias], grads):
+        where = np.argwhere(np.abs(grad) > 1e-6)
+        for at in map(tuple, where[:: max(1, len(where) // 20)]):
+            old = param[at]
+            param[at] = old + 1e-5
+            up = loss()
+            param[at] = old - 1e-5
+            down = loss()
+            param[at] = old
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-5
+
+
+def test_very_long_text_has_a_language(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog " * 20, "en"), ("der hund und die katze " * 20, "de")] * 8)] + [(100, "der hund und die katze " * 100_000, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(frame, langid.trained_on(frame)).collect()}
+    assert got[100] == "de"
+
+
+def test_language_stage_rejects_scrambled_letters(spark):
+    import corpus_pipeline
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(300).collect()
+    rng = random.Random(13)
+    junk = [(-i, "".join(rng.sample(r["text"], len(r["text"]))), None, "x", 1) for i, r in enumerate(rows[:40], 1)]
+    frame = spark.createDataFrame([tuple(r) for r in rows] + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, frame, "").collect()}
+    assert sum(i < 0 for i in kept) <= 4 and sum(i >= 0 for i in kept) >= 297
+
+
 def test_windows_cover_the_text():
     for n in (1, 255, 256, 257, 1000):
         x, w = langid.windows(b"a" * n)
@@ -401,17 +467,89 @@ def varied(rng, words, n, copies, rate):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_is_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, boundary", [(1, None), (2, 2), (3, 4), (4, 8), (5, 16), (6, 32)])
+def test_jaccard_is_brute_force(spark, seed, boundary, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(ngram_join, "CELL", 3)
+    monkeypatch.setattr(ngram_join, "COUNTED", 5)
     words = [a + b for a in "abcdef" for b in ("x", "yy", "zzz")]
     shared = " ".join(rng.choice(words) for _ in range(12))
     texts = varied(rng, words, 40, 6, 0.03) + [shared + " " + t for t in varied(rng, words, 30, 1, 0)] + EDGE_TEXTS
+    got = {r["doc_id"]: (r["n_shingles"], r["n_similar"], r["component_id"]) for r in ngram_join.jaccard_groups(docs(spark, texts), boundary=boundary).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_small_sets_are_enumerated(spark):
+    """Small sets that share common shingles: 2-subsets meet fewer pairs than lists do, so they are chosen."""
+    rng = random.Random(11)
+    common_ = [f"w{i}" for i in range(9)]
+    texts = [" ".join(rng.choice(common_) for _ in range(rng.randint(5, 12))) for _ in range(150)]
+    chosen = []
+    real = ngram_join.choose_boundary
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "choose_boundary", lambda shared: chosen.append((real(shared), shared.where("subset AND size <= 32").count())) or chosen[-1][0])
+        got = {r["doc_id"]: (r["n_shingles"], r["n_similar"], r["component_id"]) for r in ngram_join.jaccard_groups(docs(spark, texts)).collect()}
+    (boundary, pairs), subsets = chosen[0]
+    assert got == brute_groups(texts) and boundary > 2 and subsets > 0 and pairs[boundary] == min(pairs.values())
+
+
+def test_few_rows_or_many(spark, monkeypatch):
+    texts = varied(random.Random(12), list("abcdefgh"), 20, 4, 0.05) * 2
+    monkeypatch.setattr(ngram_join, "FEW_ROWS", 0)
     got = {r["doc_id"]: (r["n_shingles"], r["n_similar"], r["component_id"]) for r in ngram_join.jaccard_groups(docs(spark, texts)).collect()}
     assert got == brute_groups(texts)
 
 
+# shared helpers
+
+
+def test_hot_keys_are_spread(spark):
+    """90 % of the rows have one key: no partition of the joined rows holds more than a share of them."""
+    rows = common.written(spark.range(40000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")).repartition(8), "hot")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = common.join_counted(rows, counted, ["k"], "n", 40000)
+        parts = got.where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 36000 / 2 and got.count() == 40000
+        assert got.where("top IS NULL OR n IS NULL").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id AS row").repartitionByRange(4, "id").write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).where("id % 2 = 0")
+    got = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got.append({r["id"]: r["uid"] for r in common.numbered(read, "uid").collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1] and len(set(got[0].values())) == 2500
+    copies = common.numbered(read.unionByName(read), "uid").collect()
+    assert len({r["uid"] for r in copies}) == 5000
+
+
+def test_no_shared_folder_off_one_machine():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: self
+        get = lambda self, *a: None
+
+    class Session:
+        sparkContext = Context()
+        conf = Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
 def test_jaccard_without_links(spark):
     frame = docs(spark, ["", None, "a b c d", "e f g h"])
     assert {tuple(r) for r in ngram_join.jaccard_groups(frame).collect()} == {(0, 0, 0, 0), (1, 0, 0, 1), (2, 2, 0, 2), (3, 2, 0, 3)}
