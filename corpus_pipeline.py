@@ -1,7 +1,11 @@
 """The corpus pipeline over ``documents``: stages written as Parquet and read again as the next one's documents.
 
 Every stage works on all that the one before kept. A stage that filters returns its documents' own columns
-unchanged; the last one returns packed pieces.
+unchanged, whatever others there are; the last one returns packed pieces.
+
+Defined results: null texts and texts without a letter go with the language stage. Of a group of linked
+documents the row of smallest doc_id stays, rows without doc_id only where the group has no other, and of
+rows with equal doc_id the one that comes first in the table. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,37 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, langid, ngram_join, packing, quality
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import free_name, numbered, own_columns, table, written
 
-#: A text whose likeliest language has no more than this is of no known language.
-LEAST_SCORE = 0.3
 #: Rows to drop that are broadcast at most; more are dropped by a shuffled join.
-FEW_ROWS = 1_000_000
+FEW_ROWS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those of no known language."""
-    judged = langid.predict(docs, langid.trained_on(docs), names=("_lang", "_score"))
-    return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") > LEAST_SCORE)).select(*docs.columns)
+    """Drops texts without a letter, and those that look more like scrambled letters than like any learned language."""
+    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    judged = langid.predict(docs, langid.trained_on(docs, noise=True), names=(lang, score))
+    return judged.where(~F.col(lang).isin(langid.UNKNOWN, langid.NOISE)).select(*own_columns(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what any rule of the cascade rejects."""
-    return quality.judge(docs, "_failed").where(F.col("_failed").isNull()).select(*docs.columns)
+    failed = free_name(docs, "_failed")
+    return quality.judge(docs, failed).where(F.col(failed).isNull()).select(*own_columns(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of smallest doc_id, the first of equals, of each group of linked documents."""
-    # written, as another scan may be split and so numbered otherwise
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    keyed = rows.select(F.struct("doc_id", "_row").alias("_key"), "text")
-    gone = ngram_join.jaccard_groups(keyed, "_key").where(F.col("_key") != F.col("component_id"))
-    gone = written(gone.select("_key._row"), "pipeline-copies")
+    """Keeps one row of each group of linked documents. Rows are told apart by numbers that each scan repeats."""
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = ngram_join.jaccard_groups(rows.select(key.alias("_key"), F.col(row).alias("_at"), "text"), "_key", "_at")
+    gone = groups.where(F.col("_key.row") != F.col("component_id.row")).select(F.col("_key.row").alias(row))
+    gone = written(gone, "pipeline-copies")
     few = gone.count() <= FEW_ROWS
-    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*own_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents that are left."""
     return packing.pack_documents(docs, bpe.vocabulary_path())
 
 
