@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from corpusloom.llm import bpe, langid, ngram_join, packing, quality
 from corpusloom.llm.common import free_name, numbered, own_columns, table, written
 
+#: A text is noise where the noise class has more than this. No text of 51282 documents looked at had as much,
+#: and more than three quarters of texts of 400 scrambled letters or more do.
+LEAST_NOISE = 0.95
 #: Rows to drop that are broadcast at most; more are dropped by a shuffled join.
 FEW_ROWS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and those that look more like scrambled letters than like any learned language."""
+    """Drops texts without a letter, and those that look like scrambled letters rather than any learned language."""
     lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
     judged = langid.predict(docs, langid.trained_on(docs, noise=True), names=(lang, score))
-    return judged.where(~F.col(lang).isin(langid.UNKNOWN, langid.NOISE)).select(*own_columns(docs))
+    noise = (F.col(lang) == langid.NOISE) & (F.col(score) > LEAST_NOISE)
+    return judged.where((F.col(lang) != langid.UNKNOWN) & ~noise).select(*own_columns(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
