@@ -185,5 +185,28 @@ def encode_sample(rows: DataFrame, block: int, *, sample: str = "sample", tokeni
     return full.drop("_p", "_r", "_i", "_l")
 
 
+def sample_dataset(rows: DataFrame, block: int, *, order: str = "conv_id", system: str | None = None, max_chars: int | None = None, max_examples: int | None = None, **encoding) -> DataFrame:
+    """Encoded samples of rows with messages: the size filter on the raw row, encoding, and the first ``max_examples`` encoded; 0 keeps one."""
+    fit = rows if max_chars is None else rows.where(json_length(F.col("messages")) <= max_chars)
+    made = encode_sample(render_sample(fit, system), block, **encoding)
+    return made if max_examples is None else made.orderBy(order).limit(max(1, max_examples))
+
+
+def train_and_eval(train: DataFrame, evaluation: DataFrame, target: int, eval_size: int, strategy: str = "quality", order: str = "conv_id") -> DataFrame:
+    """Rows of both sets with their ``split``; an error where a set comes out smaller than asked for.
+
+    The evaluation set is always chosen by quality. ``leaked`` marks its rows that are in the training set too.
+    """
+    choose = {"longest": select_longest, "quality": select_quality, "mixed": select_mixed}[strategy]
+    chosen = {"train": choose(train, target, order=order), "eval": select_quality(evaluation, eval_size, max(80, eval_size // 3), order)}
+    for (split, rows), wanted in zip(chosen.items(), (target, eval_size)):
+        if (n := rows.count()) < wanted:
+            raise RuntimeError(f"{split}: {n} rows are left of {wanted} asked for")
+    ids = chosen["train"].select(order, F.lit(True).alias("_in"))
+    held = chosen["eval"].join(F.broadcast(ids) if target <= 1_000_000 else ids, order, "left")
+    marked = held.withColumn("leaked", F.coalesce("_in", F.lit(False))).drop("_in").withColumn("split", F.lit("eval"))
+    return chosen["train"].withColumns({"leaked": F.lit(False), "split": F.lit("train")}).unionByName(marked)
+
+
 def supervised_tokens(labels: Column) -> Column:
     return F.size(F.filter(labels, lambda x: x != IGNORED))

@@ -17,9 +17,10 @@ def distinct_ngrams(texts: DataFrame, n: int = N, *, text: str = "text", order:
 
 
 def contamination_report(train: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of counts, rate and status. One shuffle: both sides are counted by n-gram in a single aggregate."""
-    sides = [d.select(F.explode(ngrams(tokens(F.col("text")), n)).alias("g"), F.lit(side).alias("side")) for d, side in ((train, 1), (benchmark, 2))]
-    seen = sides[0].unionByName(sides[1]).groupBy("g").agg(F.bit_or("side").alias("side"))
+    """One row of counts, rate and status. One shuffle: both sides are counted in a single aggregate, n-grams told apart by 128 bits of hash."""
+    grams = [d.select(F.explode(ngrams(tokens(F.col("text")), n)).alias("g"), F.lit(side).alias("side")) for d, side in ((train, 1), (benchmark, 2))]
+    sides = [g.select(F.xxhash64("g").alias("h1"), F.xxhash64(F.lit(1), "g").alias("h2"), "side") for g in grams]
+    seen = sides[0].unionByName(sides[1]).groupBy("h1", "h2").agg(F.bit_or("side").alias("side"))
     counts = seen.agg(*(F.count_if(F.col("side").bitwiseAND(F.lit(m)) == m).alias(c) for c, m in (("train_ngrams", 1), ("benchmark_ngrams", 2), ("overlap_ngrams", 3))))
     rate = F.col("overlap_ngrams") / F.greatest(F.lit(1), F.col("benchmark_ngrams"))
     return counts.withColumn("overlap_rate", rate).withColumn("status", F.when(rate <= threshold, "pass").otherwise("fail"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import dedupe_key
+from corpusloom.functions.text import collapse_blanks, dedupe_key
 
 Tokenizer = Callable[[Column], Column]
 
@@ -17,8 +17,34 @@ def char_tokenizer(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % 31 + 1)
 
 
+def byte_tokenizer(text: Column) -> Column:
+    """An id a byte of UTF-8, from 1; 0 stays free for the end mark."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    many = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + 1)
+    return F.when(F.length(digits) > 0, many).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+
 #: Tokenizers by name; a caller may register more. Each maps a text column to an array<int> column.
-TOKENIZERS: dict[str, Tokenizer] = {"char": char_tokenizer}
+TOKENIZERS: dict[str, Tokenizer] = {"char": char_tokenizer, "byte": byte_tokenizer}
+
+
+def tokenizer(name: str) -> Tokenizer:
+    if name not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {name!r}; there are {sorted(TOKENIZERS)}")
+    return TOKENIZERS[name]
+
+
+def text_sample(docs: DataFrame, text: str = "text", **filters) -> DataFrame:
+    """(order, text) of a training sample: filtered texts with blanks collapsed, without empty ones."""
+    order = filters.get("order", "doc_id")
+    kept = filter_texts(docs, text=text, **filters).select(order, collapse_blanks(F.col(text)).alias(text))
+    return kept.where(F.col(text) != "")
+
+
+def write_text_sample(docs: DataFrame, path: str, **filters) -> None:
+    """The sample as text files, an empty line after each text."""
+    order = filters.get("order", "doc_id")
+    text_sample(docs, **filters).orderBy(order).select("text").write.mode("overwrite").option("lineSep", "\n\n").text(path)
 
 
 def filter_texts(docs: DataFrame, *, text: str = "text", order: str = "doc_id", max_docs: int | None = None, min_chars: int = 0, max_chars: int | None = None, score: str | None = None, int_score: str | None = None, min_int_score: int | None = None, min_score: float | None = None) -> DataFrame:
@@ -91,6 +117,17 @@ def batches(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.withColumn("batch_id", F.floor(F.col("block_id") / size))
 
 
+def shuffle_key(order: str, seed: int = 0) -> Column:
+    """60 bits of the digest of a row's own order and the seed."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(order).cast("string"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("bigint")
+
+
 def shuffled(rows: DataFrame, order: str, seed: int = 0) -> DataFrame:
     """A full shuffle that depends on the seed and the rows' own order alone."""
-    return rows.orderBy(F.xxhash64(F.col(order), F.lit(seed)), order)
+    return rows.orderBy(shuffle_key(order, seed), order)
+
+
+def shuffle_positions(rows: DataFrame, order: str, seed: int = 0) -> DataFrame:
+    """Adds position, a row's place from 0 in the shuffled order, by sums over ranges of it."""
+    keyed = rows.withColumns({"_key": shuffle_key(order, seed), "_one": F.lit(1)})
+    return running_offsets(keyed, "_key", "_one", "position").drop("_key", "_one")

@@ -88,6 +88,16 @@ def sft_supervised_tokens(spark, d):
     return made.agg(F.count("*").alias("samples"), F.sum(chat.supervised_tokens(F.col("labels"))).alias("tokens"))
 
 
+def sft_dataset(spark, d):
+    made = chat.sample_dataset(_rows(spark, d), BLOCK, system=SYSTEM, max_chars=3000, max_examples=25)
+    return made.select("conv_id", chat.supervised_tokens(F.col("labels")).cast("bigint").alias("tokens"))
+
+
+def train_eval_split(spark, d):
+    rows = _candidates(spark, d)
+    return chat.train_and_eval(rows, rows, 6, 4).select("conv_id", "split", "leaked")
+
+
 def round4_sql(source: str, x: str, name: str) -> str:
     """``source`` with ``name``, the correctly rounded ``x``; ties go by the product's error, then to even."""
     return f"""SELECT * EXCLUDE (_p, _h, _x), (floor(_p) + CASE WHEN _p - floor(_p) > 0.5 THEN 1 WHEN _p - floor(_p) < 0.5 THEN 0
@@ -168,7 +178,7 @@ def _padded(x: str, fill: str) -> str:
     return f"md5(array_to_string(list_concat({x}, list_transform(range(0, pad), lambda k: {fill})), ','))"
 
 
-QUERIES = {f.__name__: f for f in (chat_standardize, chat_prompt_response, chat_candidates, chat_source_limit, select_longest, select_quality, select_mixed, select_summary, repetition_penalty, quality_score, sft_render, sft_instructions, sft_encode, sft_supervised_tokens)}
+QUERIES = {f.__name__: f for f in (chat_standardize, chat_prompt_response, chat_candidates, chat_source_limit, select_longest, select_quality, select_mixed, select_summary, repetition_penalty, quality_score, sft_render, sft_instructions, sft_encode, sft_supervised_tokens, sft_dataset, train_eval_split)}
 
 SQL = {
     "chat_standardize": f"WITH {_STANDARD} SELECT conv_id, len(m) AS n_messages, array_to_string(list_transform(m, lambda x: x.role), ',') AS roles FROM s",
@@ -187,6 +197,11 @@ SELECT count(*) AS size, round(sum(score) / greatest(1, count(*)), 4) AS mean_sc
     "sft_instructions": f"""WITH x AS (SELECT doc_id, {strip_sql("substr(text, 1, 40)")} AS a, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS b, {strip_sql("substr(text, 41)")} AS c FROM documents)
 SELECT doc_id, md5('### Instruction:' || chr(10) || a || chr(10) || chr(10) || CASE WHEN b <> '' THEN '### Input:' || chr(10) || b || chr(10) || chr(10) ELSE '' END || '### Response:' || chr(10)) AS prompt,
   CAST(length(c) AS INTEGER) AS chars FROM x WHERE a <> '' AND c <> ''""",
+    "sft_dataset": f"""WITH {_RENDER}, w AS (SELECT conv_id FROM (SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS m FROM conversations GROUP BY conv_id)
+  WHERE length(CAST(to_json(struct_pack(messages := m)) AS VARCHAR)) + 4 * len(m) <= 3000)
+SELECT conv_id, CAST(len(list_filter(l, lambda x: x <> -100)) AS BIGINT) AS tokens FROM f SEMI JOIN w USING (conv_id) ORDER BY conv_id LIMIT 25""",
+    "train_eval_split": f"""WITH {_CANDIDATES}, t AS (SELECT conv_id FROM ({_RANKED}) ORDER BY k > 200, {_ORDER} LIMIT 6), e AS (SELECT conv_id FROM ({_RANKED}) ORDER BY k > 80, {_ORDER} LIMIT 4)
+SELECT conv_id, 'train' AS split, FALSE AS leaked FROM t UNION ALL SELECT conv_id, 'eval', conv_id IN (SELECT conv_id FROM t) FROM e""",
     "sft_encode": f"WITH {_RENDER} SELECT conv_id, {_padded('i', '0')} AS input_ids, {_padded('l', '-100')} AS labels, {_padded('list_transform(i, lambda x: 1)', '0')} AS attention_mask FROM f",
     "sft_supervised_tokens": f"WITH {_RENDER} SELECT count(*) AS samples, CAST(sum(len(list_filter(l, lambda x: x <> -100))) AS BIGINT) AS tokens FROM f",
 }

@@ -61,8 +61,16 @@ def corpus_truncate(spark, d):
 
 
 def corpus_shuffle(spark, d):
-    rows = corpus.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 3)
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum("doc_id").alias("total"))
+    return corpus.shuffle_positions(table(spark, d, "documents").select("doc_id"), "doc_id", 3)
+
+
+def text_sample(spark, d):
+    return corpus.text_sample(table(spark, d, "documents"), min_chars=300).select("doc_id", F.md5("text").alias("digest"))
+
+
+def byte_tokens(spark, d):
+    ids = corpus.tokenizer("byte")(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(ids.cast("array<string>"), ",")).alias("digest"))
 
 
 def paragraph_split(spark, d):
@@ -128,7 +136,7 @@ u AS (SELECT start + unnest(range(0, len(ids))) AS p, unnest(ids) AS id FROM o),
 b AS (SELECT CAST(p // {BLOCK} AS BIGINT) AS block_id, CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum(id * (p % {BLOCK})) AS BIGINT) AS weighted_sum FROM u GROUP BY 1 HAVING count(*) = {BLOCK})
 """
 
-QUERIES = {f.__name__: f for f in (corpus_filter, corpus_filter_scored, corpus_first_n, corpus_limit_zero, corpus_truncate, corpus_shuffle, paragraph_split, whitespace_normalize, dedupe_first, pack_blocks, pack_batches, pack_block_stats, ngram_counts, ngram_first_texts, contamination_report, contamination_by_doc, json_strings)}
+QUERIES = {f.__name__: f for f in (corpus_filter, corpus_filter_scored, corpus_first_n, corpus_limit_zero, corpus_truncate, corpus_shuffle, text_sample, byte_tokens, paragraph_split, whitespace_normalize, dedupe_first, pack_blocks, pack_batches, pack_block_stats, ngram_counts, ngram_first_texts, contamination_report, contamination_by_doc, json_strings)}
 
 SQL = {
     "corpus_filter": "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM documents WHERE length(text) >= 300",
@@ -136,7 +144,9 @@ SQL = {
     "corpus_first_n": "SELECT doc_id FROM documents WHERE length(text) >= 1000 ORDER BY doc_id LIMIT 50",
     "corpus_limit_zero": "SELECT doc_id FROM documents WHERE length(text) >= 1 ORDER BY doc_id LIMIT 1",
     "corpus_truncate": "SELECT doc_id, CAST(length(substr(text, 1, 5000)) AS INTEGER) AS chars FROM documents WHERE length(text) >= 1",
-    "corpus_shuffle": "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, CAST(sum(doc_id) AS BIGINT) AS total FROM documents",
+    "corpus_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5(doc_id || ':3'), 1, 15) AS BIGINT)) - 1 AS position FROM documents",
+    "text_sample": f"SELECT doc_id, md5({collapse_sql('text')}) AS digest FROM documents WHERE length(text) >= 300 AND {collapse_sql('text')} <> ''",
+    "byte_tokens": """SELECT conv_id, turn, md5(array_to_string(list_transform(range(0, strlen(text)), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS INT) + 1), ',')) AS digest FROM conversations""",
     "paragraph_split": f"""WITH p AS (SELECT page_id, string_split(replace(html, '<p', chr(10) || chr(10) || '<p'), chr(10) || chr(10)) AS s FROM pages),
 u AS (SELECT page_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos, {strip_sql("unnest(s)")} AS t FROM p)
 SELECT page_id, pos, md5(t) AS digest FROM u WHERE t <> ''""",

@@ -16,11 +16,12 @@ SCORES = {
     "gpt2": (2261, 3973, 3138, 3076, 6208, 5067),
     "opt-125m": (2210, 3990, 3160, 3856, 6202, 5178),
     "gpt-neo": (2321, 3965, 3055, 3765, 6213, 5099),
-    "cerebras-111m": (2099, 3506, 2720, 1912, 5952, 4901),
-    "pythia-160m": (2312, 3641, 3031, 1225, 6181, 5075),
+    "cerebras-111m": (2099, 3506, 2720, 1912, 5811, 4901),
+    "pythia-160m": (2312, 3641, 3030, 1225, 5979, 5075),
     "smollm": (2875, 5610, 4265, 3757, 6823, 5272),
     "smollm2": (2969, 5854, 4301, 4289, 6839, 5249),
 }
+BASELINES = [m for m in SCORES if m != "candidate"]
 METRIC_ROWS = [(m, t, "acc,none" if t in ("LAMBADA", "WinoGrande") else "acc_norm,none", v / 1e4) for m, vs in SCORES.items() for t, v in zip(TASKS, vs)]
 METRICS = "model string, task string, metric string, value double"
 RESULTS = json.dumps({"results": {
@@ -77,7 +78,7 @@ def win_rates(spark, d):
 
 def comparison_table(spark, d):
     candidate, baselines = _metrics(spark)
-    return evals.comparison_table(candidate, baselines, ["gpt2", "smollm"])
+    return evals.comparison_table(candidate, baselines, BASELINES)
 
 
 def public_average(spark, d):
@@ -133,7 +134,7 @@ def eval_token_lookup(spark, d):
 def csv_rows(spark, d):
     train, evaluated = _log(spark)
     rows = runs.ordered_events(train, runs.evaluation_tokens(train, evaluated))
-    return runs.csv_rows(rows.withColumn("loss", F.col("loss").cast("decimal(12,6)"))).select(*(f for f in runs.CSV_FIELDS if not f.startswith("tokens_per")))
+    return runs.csv_rows(rows.withColumn("loss", F.col("loss").cast("decimal(12,6)")))
 
 
 def event_lines(spark, d):
@@ -178,8 +179,7 @@ def checkpoint_retention(spark, d):
 
 
 def behavior_rows(spark, d):
-    rows = synthetic.behaviour_rows(spark, 8)
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("instruction").alias("instructions"), F.max("ord").alias("last"))
+    return synthetic.behaviour_rows(spark, 8)
 
 
 QUERIES = {f.__name__: f for f in (metric_choice, compare_tasks, win_rates, comparison_table, public_average, gate_status, readiness, sanity_score, sanity_counts, response_only, moving_average, step_rates, log_summary, eval_token_lookup, csv_rows, event_lines, final_eval, lr_schedule, token_budget, vocab_padding, perplexity, mean_loss, checkpoint_retention, behavior_rows)}
@@ -187,7 +187,7 @@ QUERIES = {f.__name__: f for f in (metric_choice, compare_tasks, win_rates, comp
 
 def _values(rows, names):
     def cell(v):
-        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) + ("e0" if isinstance(v, float) and "e" not in repr(v) else "")
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) + ("e0" if isinstance(v, float) and "e" not in repr(v) else "")
 
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names}))"
 
@@ -204,8 +204,7 @@ SQL = {
     "metric_choice": "SELECT * FROM (VALUES ('hellaswag', 'acc_norm,none', 0.42e0), ('piqa', 'acc,none', 0.61e0), ('wiki', 'word_perplexity,none', 20.5e0), ('odd', 'zeta,none', 3e0)) AS t(task, metric, value)",
     "compare_tasks": f"SELECT b.model AS baseline, b.task, CAST(sign(c.value - b.value) AS INTEGER) AS outcome {_MET}",
     "win_rates": _RATES,
-    "comparison_table": f"""SELECT c.task, c.metric, printf('%.4f', c.value) AS candidate, printf('%.4f', g.value) AS gpt2, printf('%.4f', s.value) AS smollm
-FROM {_M} c JOIN {_M} g ON g.task = c.task AND g.model = 'gpt2' JOIN {_M} s ON s.task = c.task AND s.model = 'smollm' WHERE c.model = 'candidate'""",
+    "comparison_table": f"""SELECT task, metric, {', '.join(f"max(printf('%.4f', value)) FILTER (model = '{m}') AS \"{m}\"" for m in SCORES)} FROM {_M} GROUP BY task, metric""",
     "public_average": f"SELECT avg(rate) AS public_rate FROM ({_RATES})",
     "gate_status": f"""SELECT id, CASE WHEN len(f) = 0 THEN 'pass' ELSE 'fail' END AS status, array_to_string(f, '; ') AS failures FROM (SELECT id, list_filter([
   CASE WHEN ta <> tb THEN 'controlled configs use different tokenizers' END, CASE WHEN da <> db THEN 'controlled configs use different datasets' END,
@@ -227,8 +226,8 @@ FROM (SELECT step, tokens - coalesce(lag(tokens) OVER (ORDER BY step), 0) AS g,
   count(*) FILTER (event = 'eval') AS eval_points, min_by(loss, step) FILTER (event = 'eval') AS first_eval_loss, max_by(loss, step) FILTER (event = 'eval') AS last_eval_loss FROM {_L}""",
     "eval_token_lookup": f"SELECT pos, step::BIGINT AS step, tokens::BIGINT AS tokens FROM ({_EVAL_TOKENS})",
     "csv_rows": f"""SELECT event, step::VARCHAR AS step, coalesce(tokens::VARCHAR, '') AS tokens, CASE WHEN tokens IS NULL THEN '' ELSE printf('%.6f', tokens / 1e9) END AS tokens_b,
-  loss::DECIMAL(12,6)::VARCHAR AS loss, '' AS perplexity, '' AS lr, '' AS source
-FROM (SELECT event, step, tokens, loss FROM {_L} WHERE event = 'train' UNION ALL SELECT event, step, tokens, loss FROM ({_EVAL_TOKENS}))""",
+  loss::DECIMAL(12,6)::VARCHAR AS loss, '' AS perplexity, '' AS lr, coalesce(rate::VARCHAR, '') AS tokens_per_sec_window, '' AS source
+FROM (SELECT event, step, tokens, loss, rate FROM {_L} WHERE event = 'train' UNION ALL SELECT event, step, tokens, loss, NULL FROM ({_EVAL_TOKENS}))""",
     "event_lines": "SELECT * FROM (VALUES (0, 'train', 1::BIGINT, 2.5e0, TRUE), (2, 'eval', 2, 3e0, FALSE), (5, 'done', NULL, NULL, FALSE)) AS t(pos, event, step, loss, had_tokens)",
     "final_eval": f"SELECT event, step::BIGINT AS step, tokens::BIGINT AS tokens, loss, NULL::DOUBLE AS perplexity FROM {_L} WHERE event = 'eval' UNION ALL SELECT 'eval', 18928, 10001252352, 2.875e0, 17.75e0",
     "lr_schedule": "SELECT step, round(4e-4 * CASE WHEN step < 20 THEN (step + 1) / 20e0 ELSE 0.1e0 + 0.9e0 * 0.5e0 * (1 + cos(pi() * least(1e0, (step - 20) / 380e0))) END, 12) AS lr FROM range(0, 400) t(step)",
@@ -237,5 +236,5 @@ FROM (SELECT event, step, tokens, loss FROM {_L} WHERE event = 'train' UNION ALL
     "perplexity": "SELECT id, CASE WHEN loss < 20 THEN round(exp(loss), 6) ELSE 1e300 END AS perplexity FROM (VALUES (1, 2.875e0), (2, 19.5e0), (3, 20e0), (4, 700e0)) AS t(id, loss)",
     "mean_loss": f"SELECT avg(loss) AS loss FROM {_L} WHERE event = 'eval'",
     "checkpoint_retention": "SELECT printf('step-%06d', i * 500) AS name FROM range(1, 9) t(i)",
-    "behavior_rows": "SELECT 744::BIGINT AS n, 93::BIGINT AS instructions, 743::BIGINT AS last",
+    "behavior_rows": f"SELECT c * {len(synthetic.base_rows())} + i AS ord, instruction, '' AS input, output FROM {_values([(i, *r) for i, r in enumerate(synthetic.base_rows())], 'i, instruction, output')}, range(8) r(c)",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
@@ -39,6 +39,16 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_report(row: DataFrame, path: str) -> None:
+    """A one-row report as indented JSON, keys in the order of the columns, arrays and maps included."""
+    import json
+
+    (only,) = row.collect()
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(only.asDict(recursive=True), out, indent=2, ensure_ascii=False)
+        out.write("\n")
+
+
 @udtf(returnType="pos: int, text: string")
 class JsonStrings:
     """All non-blank string values of a JSON text, however nested; keys don't count. Bad JSON has none."""
@@ -162,5 +172,4 @@ def read_optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.orderBy(order)))
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    return rows.orderBy(order).limit(n)

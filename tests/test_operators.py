@@ -207,3 +207,25 @@ def test_filter_keeps_whole_texts(spark, data):
 def test_instructions_take_whole_texts(spark, data):
     parts = {r["doc_id"]: (r["text"][:40].strip(), r["text"][40:].strip()) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert {r["doc_id"]: r["chars"] for r in chat_queries.sft_instructions(spark, data).collect()} == {i: len(c) for i, (a, c) in parts.items() if a and c}
+
+
+def test_published_scores():
+    from corpusloom.plans.run_queries import SCORES
+
+    assert [v / 1e4 for v in SCORES["cerebras-111m"]] == [0.2099, 0.3506, 0.2720, 0.1912, 0.5811, 0.4901]
+    assert [v / 1e4 for v in SCORES["pythia-160m"]] == [0.2312, 0.3641, 0.3030, 0.1225, 0.5979, 0.5075]
+
+
+def test_split_guards_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a", float(i), 1) for i in range(5)], "conv_id long, category string, score double, response_chars int")
+    got = chat.train_and_eval(rows, rows, 3, 2).collect()
+    assert sorted((r["split"], r["conv_id"], r["leaked"]) for r in got) == [("eval", 3, True), ("eval", 4, True), ("train", 2, False), ("train", 3, False), ("train", 4, False)]
+    with pytest.raises(RuntimeError):
+        chat.train_and_eval(rows, rows, 6, 2)
+    with pytest.raises(ValueError):
+        corpus.tokenizer("other")
+    readers.write_report(chat.summarize(rows), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text())["categories"] == {"a": 5}
+    texts = spark.createDataFrame([(1, " a \n b"), (2, "c d"), (3, " ")], "doc_id long, text string")
+    corpus.write_text_sample(texts.coalesce(1), str(tmp_path / "t"))
+    assert "".join(p.read_text() for p in (tmp_path / "t").glob("part*")) == "a b\n\nc d\n\n"
