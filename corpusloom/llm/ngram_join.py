@@ -15,8 +15,11 @@ where ``need`` is the least overlap that a set's links can have. Both kinds of l
 sets first; the boundary is the one at which fewest pairs meet, by these counts.
 
 A list of many sets is split into shares, and pairs meet in cells of two shares, so that no list, however
-long, is one task's. A pair is met at its first common shingle, passes size and positional filters, and is
-verified on the whole sets, which travel once to each cell that asks for them. Components come from
+long, is one task's. A pair is met at its first common shingle: in a long list, sets that come from the same
+list just before it met there, and the largest such group meets the others only. A pair passes size and
+positional filters and is verified on the whole sets, which travel once to each cell that asks for them. In
+a cell of many sets these are held against the shingles that most of them have, as two sets differ by as
+much as their differences from a third do, and for near copies those are short. Components come from
 alternating large-star and small-star steps until nothing changes.
 
 Shingles are told apart by 57 bits of hash beside 6 bits of their length, equal sets by 96 bits and size.
@@ -44,6 +47,8 @@ BOUNDARIES = (2, 4, 8, 16, 32)
 PAST = 4
 #: Sets, and shingles of sets, of a share of a list, about. A cell holds two shares.
 CELL, CELL_SHINGLES = 64, 1 << 20
+#: Sets of a cell from which on they are compared by their differences from what most of the first DENSE have.
+DENSE = 16
 #: Entries of a heavy list that one task counts, about.
 COUNTED = 100_000
 #: Row numbers that are broadcast at most; more are joined by a shuffle.
@@ -170,8 +175,29 @@ def choose_boundary(shared: DataFrame) -> tuple[int, dict[int, int]]:
     return min(BOUNDARIES, key=lambda b: (got[str(b)], b)), {b: int(got[str(b)]) for b in BOUNDARIES}
 
 
+def main_groups(used: DataFrame) -> DataFrame:
+    """(token, subset, main, m, r) of the long lists: most of their entries, m of them, come from list ``main`` just before, r don't."""
+    groups = used.where(F.col("n") > CELL).groupBy("token", "subset", F.get("past", F.lit(0)).alias("main")).agg(F.count("*").alias("m"))
+    lists = groups.groupBy("token", "subset").agg(F.sum("m").alias("all"), F.max(F.when(F.col("main").isNotNull(), F.struct("m", "main"))).alias("x"))
+    return lists.where("x IS NOT NULL").select("token", "subset", "x.main", "x.m", (F.col("all") - F.col("x.m")).alias("r"))
+
+
+def in_cells(used: DataFrame, main: DataFrame) -> DataFrame:
+    """Entries in the cells (lo, hi), each of two shares, of their list: one row a cell.
+
+    The entries of a list's main group all meet in the list that they come from, so they have shares of
+    their own here, and no cell for two of these.
+    """
+    shares = lambda n: F.greatest(F.ceil(n / CELL), F.least(n, F.ceil(F.col("w") / CELL_SHINGLES))).cast("int")
+    split = used.join(main, ["token", "subset"], "left").withColumn("in_main", F.coalesce(F.get("past", F.lit(0)) == F.col("main"), F.lit(False)))
+    split = split.withColumns({"k": shares(F.coalesce("r", "n")), "km": shares(F.coalesce("m", F.lit(0)))}).where("k > 0")
+    split = split.withColumn("share", F.when(F.col("in_main"), F.col("k") + F.pmod(F.xxhash64("uid"), F.col("km"))).otherwise(F.pmod(F.xxhash64("uid"), F.col("k"))).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("k")).otherwise(F.col("k") + F.col("km")) - 1)))
+    return split.withColumns({"lo": F.least("share", "other"), "hi": F.greatest("share", "other")}).drop("main", "m", "r", "in_main", "k", "km", "other")
+
+
 def candidate_pairs(shared: DataFrame, boundary: int) -> DataFrame:
-    """(a, b, cell), a < b, once for each pair of entries' sets that share a token and pass the filters.
+    """(a, b, cell), a < b, a written table: once each pair of entries' sets that share a token and pass the filters.
 
     An entry carries the shared tokens just before it. Where two entries have one of these in common, the
     pair meets there already, so near copies, whose whole lists coincide, are paired about once. A pair's
@@ -182,10 +208,8 @@ def candidate_pairs(shared: DataFrame, boundary: int) -> DataFrame:
     before = Window.partitionBy("uid", "subset").orderBy("pos", "token")
     past = F.array_compact(F.array(*(F.lag("token", i).over(before) for i in range(1, PAST + 1))))
     used = used.withColumn("past", past).withColumn("past", F.when(F.col("subset"), F.expr(_NONE)).otherwise(F.col("past")))
-    shares = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL), F.least(F.col("n"), F.ceil(F.col("w") / CELL_SHINGLES)))
-    placed = used.withColumn("k", shares.cast("int")).withColumn("share", F.pmod(F.xxhash64("uid"), F.col("k")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.withColumns({"lo": F.least("share", "other"), "hi": F.greatest("share", "other")})
+    main = written(main_groups(used), "jaccard-main")
+    placed = in_cells(used, F.broadcast(main) if main.count() <= FEW_ROWS else main)
     cell = ["token", "subset", "lo", "hi"]
     a, b = (placed.select(*cell, *(F.col(c).alias(c + x) for c in ("uid", "size", "pos", "past", "share"))) for x in "ab")
     sa, sb = F.col("sizea"), F.col("sizeb")
@@ -193,7 +217,9 @@ def candidate_pairs(shared: DataFrame, boundary: int) -> DataFrame:
     fit = F.col("subset") | (((sa > boundary) | (sb > boundary)) & (rest >= _least_overlap(sa, sb)) & ~F.arrays_overlap("pasta", "pastb"))
     here = (F.col("lo") == F.col("hi")) | (F.col("sharea") != F.col("shareb"))
     met = a.join(b, cell).where((F.col("uida") < F.col("uidb")) & here & _sizes_fit(sa, sb) & fit)
-    return met.groupBy(F.col("uida").alias("a"), F.col("uidb").alias("b")).agg(F.min(F.struct(*cell)).alias("cell"))
+    out = written(met.groupBy(F.col("uida").alias("a"), F.col("uidb").alias("b")).agg(F.min(F.struct(*cell)).alias("cell")), "jaccard-candidates")
+    discard(main)
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -206,8 +232,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     held = own.join(hint(there), "uid").groupBy("cell").agg(F.collect_list(F.struct("uid", "size", "tokens")).alias("s"))
     asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("p"))
 
+    def most(s: Column) -> Column:
+        """The tokens of more than half of the first sets of a dense cell."""
+        first = F.slice(s, 1, DENSE)
+        every = let(F.sort_array(F.flatten(F.transform(first, lambda x: x["tokens"]))), lambda e: F.filter(e, lambda x, i: x == F.get(e, i + DENSE // 2)))
+        return F.when(F.size(s) >= DENSE, F.array_distinct(every)).otherwise(F.expr(_NONE))
+
+    def apart(s: Column) -> Column:
+        """The sets (uid, size, d): d has the tokens that only one of the set and ``most`` has."""
+        differ = lambda x, r: F.when(F.size(r) > 0, F.concat(F.array_except(x, r), F.array_except(r, x))).otherwise(x)
+        return let(most(s), lambda r: F.transform(s, lambda x: F.struct(x["uid"].alias("uid"), x["size"].cast("long").alias("size"), differ(x["tokens"], r).alias("d"))))
+
     def does(a: Column, b: Column) -> Column:
-        return let(F.size(F.array_intersect(a["tokens"], b["tokens"])), lambda common: DEN * common >= NUM * (a["size"] + b["size"] - common))
+        both, da, db = a["size"] + b["size"], F.size(a["d"]), F.size(b["d"])
+        # twice the overlap is the sizes' sum less those of d, and twice the overlap of d
+        enough = lambda common: (NUM + DEN) * (both - da - db + 2 * common) >= 2 * NUM * both
+        return F.when(enough(F.lit(0)), True).when(~enough(F.least(da, db)), False).otherwise(enough(F.size(F.array_intersect(a["d"], b["d"]))))
 
     def links(s: Column, p: Column) -> Column:
         def one(ids: Column, x: Column) -> Column:
@@ -216,6 +256,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return let(F.transform(s, lambda x: x["uid"]), lambda ids: F.filter(p, lambda x: one(ids, x)))
 
+    held = held.withColumn("s", here(apart(F.col("s"))))
     out = written(asked.join(held, "cell").select(F.explode(links(F.col("s"), F.col("p"))).alias("x")).select("x.a", "x.b"), "jaccard-links")
     discard(there)
     return out
@@ -279,7 +320,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", uid: str | None = None,
     made = entries(sets.withColumn("bits", bits), None if map_ is None else F.col("bits"))
     shared = written(shared_entries(made, heavy), "jaccard-entries")
     discard(lists)
-    pairs = written(candidate_pairs(shared, choose_boundary(shared)[0] if boundary is None else boundary), "jaccard-candidates")
+    pairs = candidate_pairs(shared, choose_boundary(shared)[0] if boundary is None else boundary)
     discard(shared)
     links = verified(pairs, texts)
     discard(pairs, *held)

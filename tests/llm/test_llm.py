@@ -493,6 +493,27 @@ def test_small_sets_are_enumerated(spark):
     assert got == brute_groups(texts) and boundary > 2 and subsets > 0 and pairs[boundary] == min(pairs.values())
 
 
+def test_a_family_meets_few_times(spark, monkeypatch):
+    """Near copies with long lists in common meet about once a pair, not once a list, and dense cells are exact."""
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) if rng.random() < rate else w for w in base) for rate in (0.0, 0.01, 0.03, 0.06, 0.1, 0.2) for _ in range(20)]
+    met, real = [], ngram_join.in_cells
+
+    def counted(used, main):
+        lists = [r[0] for r in used.groupBy("token", "subset").count().select("count").collect()]
+        placed = real(used, main)
+        cells = placed.groupBy("token", "subset", "lo", "hi").agg(F.count_if(F.col("share") == F.col("lo")).alias("x"), F.count_if(F.col("share") == F.col("hi")).alias("y"))
+        met.append((sum(n * (n - 1) // 2 for n in lists), sum(r["x"] * (r["x"] - 1) // 2 if r["lo"] == r["hi"] else r["x"] * r["y"] for r in cells.collect())))
+        return placed
+
+    monkeypatch.setattr(ngram_join, "in_cells", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["n_similar"], r["component_id"]) for r in ngram_join.jaccard_groups(docs(spark, texts)).collect()}
+    assert got == brute_groups(texts) and 3 * met[0][1] < met[0][0]
+
+
 def test_few_rows_or_many(spark, monkeypatch):
     texts = varied(random.Random(12), list("abcdefgh"), 20, 4, 0.05) * 2
     monkeypatch.setattr(ngram_join, "FEW_ROWS", 0)
