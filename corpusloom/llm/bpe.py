@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -29,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
 
-#: Cached chunks and pieces of a worker; full caches are emptied. Longer strings than CACHED_CHARS aren't cached.
+#: Cached chunks and pieces of a worker; a full cache drops what its last half of keys doesn't hold. Longer strings than CACHED_CHARS aren't cached.
 CACHED_CHUNKS, CACHED_PIECES, CACHED_CHARS = 400_000, 400_000, 48
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")  # on chunks, which hold no white space
+#: PIECE on lower-case ASCII.
+_ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: White space of the normaliser; str.split() also cuts at the four separators U+001C to U+001F.
 _BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -100,14 +101,17 @@ class SegmentTreeBpe:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            leaves = [(i, _NEVER if k >= n or (got := rank.get((ids[i], ids[k]))) is None else got[0] | i)]
+            tree[width + i] = _NEVER if k >= n or (got := rank.get((ids[i], ids[k]))) is None else got[0] | i
+            leaves = [width + i]
             if j < n - 1:
-                leaves.append((j, _NEVER))
+                tree[width + j] = _NEVER
+                if (i ^ j) > 1:  # else they have their parent in common
+                    leaves.append(width + j)
             if (h := before[i]) >= 0:
-                leaves.append((h, _NEVER if (got := rank.get((ids[h], ids[i]))) is None else got[0] | h))
-            for at, value in leaves:
-                at += width
-                tree[at] = value
+                tree[width + h] = _NEVER if (got := rank.get((ids[h], ids[i]))) is None else got[0] | h
+                if (h ^ i) > 1:
+                    leaves.append(width + h)
+            for at in leaves:
                 at >>= 1
                 while at:
                     a, b = tree[2 * at], tree[2 * at + 1]
@@ -127,33 +131,44 @@ def normalised(chunk: str) -> str:
     return "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
 
 
-class ChunkCache(dict):
-    """Chunk -> ``finish(ids)``, worked out on demand."""
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a normalised chunk."""
+    if text.isascii():
+        return [text] if text.isalpha() else _ASCII_PIECE.findall(text)
+    return PIECE.findall(text)
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], finish: Callable[[list[int]], object], added: dict[str, int]) -> None:
+
+class Recent(dict):
+    """Values worked out on demand by ``make``. It holds ``most`` keys at most, the last half of them used among these."""
+
+    def __init__(self, most: int, make: Callable[[str], object]) -> None:
         super().__init__()
-        self.encode_piece, self.finish = encode_piece, finish
-        self.pieces: dict[str, array] = {}
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            if 2 * (len(self) + 1) > self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class ChunkCache(Recent):
+    """Chunk -> ``join`` of its pieces' ``finish(ids)``."""
+
+    def __init__(self, encode_piece: Callable[[str], list[int]], finish: Callable[[list[int]], object], join: Callable[[list], object], added: dict[str, int]) -> None:
+        super().__init__(CACHED_CHUNKS, self.chunk)
+        self.pieces, self.join = Recent(CACHED_PIECES, lambda piece: finish(encode_piece(byte_level(piece)))), join
         self.added = {k: finish([v]) for k, v in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def __missing__(self, chunk: str) -> object:
-        ids: list[int] = []
-        for piece in PIECE.findall(normalised(chunk)):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = array("i", self.encode_piece(byte_level(piece)))
-                if len(piece) <= CACHED_CHARS:
-                    if len(self.pieces) >= CACHED_PIECES:
-                        self.pieces.clear()
-                    self.pieces[piece] = got
-            ids += got
-        value = self.finish(ids)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = value
-        return value
+    def chunk(self, chunk: str) -> object:
+        found, pieces = pieces_of(normalised(chunk)), self.pieces
+        return pieces[found[0]] if len(found) == 1 else self.join([pieces[x] for x in found])
 
     def of(self, text: str | None) -> list:
         """The finished values of all chunks of a text, in order."""
@@ -174,6 +189,12 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
+def joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    """(number of ids, ids, tokens) of parts of a text; those without ids leave no blank."""
+    parts = [p for p in parts if p[0]]
+    return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+
+
 class Codec:
     """Encoder and decoder of a vocabulary file."""
 
@@ -185,8 +206,8 @@ class Codec:
         self.bpe = SegmentTreeBpe(model["vocab"], merges, model["end_of_word_suffix"] or "")
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (model["vocab"] | added).items()}
-        self.chunks = ChunkCache(self.bpe.encode, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))), added)
-        self.ids = ChunkCache(self.bpe.encode, list, added)
+        self.chunks = ChunkCache(self.bpe.encode, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))), joined, added)
+        self.ids = ChunkCache(self.bpe.encode, list, lambda parts: [i for x in parts for i in x], added)
 
     def encode(self, text: str | None) -> list[int]:
         return [i for part in self.ids.of(text) for i in part]
@@ -224,10 +245,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column("text"):
-                parts = [p for p in own.of(text.as_py()) if p[0]]
-                n.append(sum(p[0] for p in parts))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                many, own_ids, tokens = joined(own.of(text.as_py()))
+                n.append(many)
+                ids.append(hashlib.sha256(own_ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -205,7 +205,7 @@ def _ids(path: str) -> ChunkCache:
     whole = Tokenizer.from_file(path)
     model = whole.model
     added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
-    return ChunkCache(lambda piece: [t.id for t in model.tokenize(piece)], lambda ids: np.array(ids, "<u4").tobytes(), added)
+    return ChunkCache(lambda piece: [t.id for t in model.tokenize(piece)], lambda ids: np.array(ids, "<u4").tobytes(), b"".join, added)
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id") -> DataFrame:

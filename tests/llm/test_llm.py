@@ -240,6 +240,27 @@ def test_salvage_reads_no_more_than_a_record(spark, tmp_path):
     assert [(r["offset"], r["size"]) for r in gaps] == [(len(good[0]), len(data) - len(good[0]) - len(good[1]))]
 
 
+def test_full_caches_keep_what_is_used(monkeypatch):
+    """A frequent word among ever new ones is encoded once, the bounds hold, and ids are those of a large cache."""
+    path = bpe.vocabulary_path()
+    texts = [f"often word{i} it's w{i}x-{i} Éte{i}'S" for i in range(300)]
+    whole = list(map(bpe.Codec(path).encode, texts))
+    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 40)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 40)
+    own, asked = bpe.Codec(path), []
+    real = own.bpe.encode
+    small = bpe.ChunkCache(lambda piece: asked.append(piece) or real(piece), list, lambda parts: [i for x in parts for i in x], {})
+    assert [[i for part in small.of(t) for i in part] for t in texts] == whole
+    assert asked.count("often") == 1 and all(len(x) + len(x.old) <= 40 for x in (small, small.pieces))
+
+
+def test_pieces_of_ascii_are_the_pattern_s():
+    rng = random.Random(14)
+    for _ in range(3000):
+        text = "".join(rng.choice("''stremvldazZ09.$-\x1f_") for _ in range(rng.randint(1, 12))).lower()
+        assert bpe.pieces_of(text) == bpe.PIECE.findall(text)
+
+
 # quality rules
 
 
