@@ -107,8 +107,8 @@ def pack_block_stats(spark, d):
 
 
 def ngram_counts(spark, d):
-    sides = [contamination.distinct_ngrams(table(spark, d, t)).agg(F.count("*").alias("n")).select(F.lit(t).alias("side"), "n") for t in ("documents", "benchmark")]
-    return sides[0].unionByName(sides[1])
+    sides = ("documents", "benchmark")
+    return contamination.ngram_counts(*(table(spark, d, t) for t in sides), sides)
 
 
 def ngram_first_texts(spark, d):
