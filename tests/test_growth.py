@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import contamination
 from corpusloom.plans import corpus_queries
 
@@ -39,3 +40,34 @@ def test_ngrams_are_shuffled_as_a_long_and_an_int(spark, data):
     for name in ("ngram_counts", "contamination_report"):
         wide = [s for s in shuffled(corpus_queries.QUERIES[name](spark, data)) if "h1" in s]
         assert wide and set(wide) == {"struct<h1:bigint,h2:int>"}
+
+
+def test_positive_classes_are_the_complements():
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    blank = {c for c in every if c.isspace()}
+    assert set(T.BLANKS) == blank and len(T.BLANKS) == 29
+    python = lambda c: re.sub(r"\\x\{(\w+)\}", lambda m: "\\U" + m[1].zfill(8), c)
+    assert set(re.findall(f"[{python(T.NOT_BLANK)}]", every)) == set(every) - blank
+    assert set(re.findall(f"[{python(T.NOT_PLAIN)}]", every)) == set(every) - set("abcdefghijklmnopqrstuvwxyz0123456789 ")
+
+
+def test_no_pattern_has_a_negated_class(spark):
+    made = spark.range(1).select(F.col("id").cast("string").alias("t")).select(T.count_words(F.col("t")), T.dedupe_key(F.col("t")), T.strip(F.col("t")))
+    assert "[^" not in made._jdf.queryExecution().analyzed().toString().replace("&&[^ ]", "")
+
+
+@pytest.mark.parametrize("length", (1, 5, 20))
+def test_key_of_a_text_is_the_whole_text_s(spark, length):
+    texts = ["  Ab\t c", "- " * 50 + "abc def  ghi", "a  b  c  d  e  f  g  h  i  j", "Ω" * 99 + "end", " \u2003", "", None, "x" * 4 + " " * 80 + "y", "abcde" * 9, "ab cd" + "!" * 80 + "efgh"]
+    made = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def key(t):
+        return None if t is None else re.sub("[^a-z0-9 ]+", "", " ".join(t.lower().split()))[:length]
+
+    assert [r.k for r in made.select(T.dedupe_key(F.col("text"), length).alias("k")).collect()] == [key(t) for t in texts]
+
+
+def test_ends_and_keys_cost_no_pattern_or_long_key(spark, data):
+    assert "regexp" not in spark.range(1).select(T.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    keyed = [s for s in shuffled(corpus_queries.QUERIES["dedupe_first"](spark, data)) if "_key" in s]
+    assert keyed and all("_key:binary" in s for s in keyed)
