@@ -64,8 +64,11 @@ def filter_texts(docs: DataFrame, *, text: str = "text", order: str = "doc_id",
 
 
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row by ``order`` of each key. A partial aggregate finds it, so hot keys shrink before the shuffle."""
-    keyed = rows.withColumn("_key", key)
+    """The first row by ``order`` of each key. A partial aggregate finds it, so hot keys shrink before the shuffle.
+
+    Keys are told apart by their digest, as they may be long.
+    """
+    keyed = rows.withColumn("_key", F.unhex(F.md5(key)))
     firsts = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
     return keyed.join(firsts.select(F.col("_first").alias(order)), order, "left_semi").drop("_key")
 
