@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +15,34 @@ from corpusloom.functions.text import collapse_blanks, dedupe_key
 Tokenizer = Callable[[Column], Column]
 
 
+def _python_ids(chars: bool) -> Callable[[Column], Column]:
+    """Ids of characters (null for null text) or of bytes, a batch at a time. The inner function takes nothing of this module along."""
+
+    def ids(text: pa.Array) -> pa.Array:
+        if chars:
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            values, at = np.empty(ends[-1] if len(ends) else 0, np.int32), 0
+            for x, end in zip(text, ends):
+                if end > at:
+                    values[at:end] = np.frombuffer(x.as_py().encode("utf-32-le"), "<u4") % 31
+                    at = end
+        else:
+            data = [b"" if x is None else x for x in text.cast(pa.binary()).to_pylist()]
+            ends, values = np.cumsum([len(x) for x in data], dtype=np.int64), np.frombuffer(b"".join(data), np.uint8).astype(np.int32)
+        values += 1
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values), mask=text.is_null() if chars else None)
+
+    return F.arrow_udf(ids, "array<int>")
+
+
 def char_tokenizer(text: Column) -> Column:
     """An id a character: its code point modulo 31, from 1; 0 stays free for the end mark."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % 31 + 1)
+    return _python_ids(True)(text)
 
 
 def byte_tokenizer(text: Column) -> Column:
     """An id a byte of UTF-8, from 1; 0 stays free for the end mark."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    many = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + 1)
-    return F.when(F.length(digits) > 0, many).otherwise(F.expr("CAST(array() AS array<int>)"))
+    return _python_ids(False)(text)
 
 
 #: Tokenizers by name; a caller may register more. Each maps a text column to an array<int> column.

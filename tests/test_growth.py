@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import contamination
+from corpusloom.operators import contamination, corpus
 from corpusloom.plans import corpus_queries
 
 
@@ -16,7 +16,7 @@ def shuffled(df):
     while nodes:
         node = nodes.pop()
         if node.nodeName() == "AdaptiveSparkPlan":
-            nodes.append(node.inputPlan())
+            nodes.append(node.initialPlan())
         if node.nodeName() == "Exchange":
             out.append(node.schema().simpleString())
         nodes.extend(node.children().apply(i) for i in range(node.children().size()))
@@ -71,3 +71,14 @@ def test_ends_and_keys_cost_no_pattern_or_long_key(spark, data):
     assert "regexp" not in spark.range(1).select(T.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     keyed = [s for s in shuffled(corpus_queries.QUERIES["dedupe_first"](spark, data)) if "_key" in s]
     assert keyed and all("_key:binary" in s for s in keyed)
+
+
+def test_tokenizers_give_one_id_a_character_or_byte_in_time_that_grows_with_the_text(spark):
+    texts = ["a", "", None, "é\U0001f600 z\n", "aé\U00010400" * 100_000]  # quadratic work would take minutes
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(2)
+    got = {r.i: r for r in made.select("i", corpus.tokenizer("char")(F.col("text")).alias("c"), corpus.tokenizer("byte")(F.col("text")).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].c == (None if t is None else [ord(x) % 31 + 1 for x in t])
+        assert got[i].b == [x + 1 for x in (t or "").encode()]
+    empty = made.where("i > 99").select(corpus.tokenizer("char")(F.col("text")).alias("c"))
+    assert empty.collect() == [] and dict(empty.dtypes)["c"] == "array<int>"
