@@ -115,17 +115,20 @@ def running_offsets(rows: DataFrame, order: str, size: str, name: str = "offset"
     return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_within")).drop("_part", "_start", "_within")
 
 
-def pack_in_order(docs: DataFrame, block: int, *, ids: str = "ids", order: str = "doc_id", end_id: int | None = 0) -> DataFrame:
+def pack_in_order(docs: DataFrame, block: int, *, ids: str | Column = "ids", order: str = "doc_id", end_id: int | None = 0, size: Column | None = None) -> DataFrame:
     """(block_id, input_ids): ids of all documents in order, each followed by the end id, cut into whole blocks.
 
     Documents without ids add nothing, not even an end id; a last partial block is dropped. Documents
-    travel as one slice a block, not as single ids.
+    travel as one slice a block, not as single ids. ``size``, the number of ids, is for ids that are still to be
+    made: offsets come from it alone, and ids are made once, after what they are made of has met its offset.
     """
     if block < 1:
         raise ValueError("a block holds at least one id")
-    some = docs.where(F.size(ids) > 0).select(order, (F.concat(ids, F.array(F.lit(end_id))) if end_id is not None else F.col(ids)).alias("_ids"))
-    placed = running_offsets(some.select(order, F.size("_ids").cast("long").alias("_n")), order, "_n", "_at")
-    both = some.join(placed, order)
+    own = F.col(ids) if isinstance(ids, str) else ids
+    count = (F.size(own) if size is None else size).cast("long")
+    counted = docs.where(count > 0).select(order, (count + (0 if end_id is None else 1)).alias("_n"))
+    both = docs.join(running_offsets(counted, order, "_n", "_at"), order)
+    both = both.select("_at", "_n", (F.concat(own, F.array(F.lit(end_id))) if end_id is not None else own).alias("_ids"))
     first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_n") - 1) / block)
     cut = both.select("_at", "_ids", F.explode(F.sequence(first, last)).alias("block_id"))
     start = F.greatest(F.col("block_id") * block - F.col("_at"), F.lit(0)).cast("int")
@@ -136,6 +139,17 @@ def pack_in_order(docs: DataFrame, block: int, *, ids: str = "ids", order: str =
     return whole.where(F.size("input_ids") == block)
 
 
+def block_sums(ids: Column) -> Column:
+    """struct(id_sum, weighted_sum) of blocks of one size: of their ids, and of these times their place from 0."""
+
+    def sums(ids: pa.Array) -> pa.Array:
+        values = ids.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1 if len(ids) else 0)
+        parts = (values.sum(axis=1, dtype=np.int64), values.astype(np.int64) @ np.arange(values.shape[1]))
+        return pa.StructArray.from_arrays([pa.array(p, pa.int64()) for p in parts], ["id_sum", "weighted_sum"])
+
+    return F.arrow_udf(sums, "id_sum bigint, weighted_sum bigint")(ids)
+
+
 def batches(blocks: DataFrame, size: int) -> DataFrame:
     """Adds the batch that a block falls into."""
     return blocks.withColumn("batch_id", F.floor(F.col("block_id") / size))

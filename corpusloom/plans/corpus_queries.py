@@ -88,14 +88,12 @@ def dedupe_first(spark, d):
 
 
 def _blocks(spark, d):
-    docs = _filtered(spark, d, min_chars=300)
-    return corpus.pack_in_order(docs.select("doc_id", corpus.char_tokenizer(F.col("text")).alias("ids")), BLOCK)
+    docs = _filtered(spark, d, min_chars=300).select("doc_id", "text")
+    return corpus.pack_in_order(docs, BLOCK, ids=corpus.char_tokenizer(F.col("text")), size=F.length("text"))
 
 
 def pack_blocks(spark, d):
-    weighted = F.aggregate(F.transform("input_ids", lambda x, i: x.cast("bigint") * i), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return _blocks(spark, d).select("block_id", total.alias("id_sum"), weighted.alias("weighted_sum"))
+    return _blocks(spark, d).select("block_id", corpus.block_sums(F.col("input_ids")).alias("s")).select("block_id", "s.*")
 
 
 def pack_batches(spark, d):

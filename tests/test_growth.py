@@ -82,3 +82,15 @@ def test_tokenizers_give_one_id_a_character_or_byte_in_time_that_grows_with_the_
         assert got[i].b == [x + 1 for x in (t or "").encode()]
     empty = made.where("i > 99").select(corpus.tokenizer("char")(F.col("text")).alias("c"))
     assert empty.collect() == [] and dict(empty.dtypes)["c"] == "array<int>"
+
+
+def test_packing_makes_ids_once_and_after_the_join(spark, data):
+    plan = corpus_queries.QUERIES["pack_block_stats"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # ids and sums
+    assert plan.rindex("ArrowEvalPython") < plan.index("Join")
+
+
+def test_block_sums(spark):
+    made = spark.createDataFrame([([5, 1, 2],), ([31, 31, 31],)], "ids array<int>").select(corpus.block_sums(F.col("ids")).alias("s"))
+    assert sorted(tuple(r.s) for r in made.collect()) == [(8, 5), (93, 93)]
+    assert made.where("s.id_sum < 0").collect() == []
