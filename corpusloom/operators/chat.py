@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.corpus import Tokenizer, char_tokenizer, keep_first
+from corpusloom.sources.tables import written
 
 ROLES = ("assistant", "system", "user")
 MESSAGES = "array<struct<role: string, content: string>>"
@@ -195,10 +196,14 @@ def sample_dataset(rows: DataFrame, block: int, *, order: str = "conv_id", syste
 def train_and_eval(train: DataFrame, evaluation: DataFrame, target: int, eval_size: int, strategy: str = "quality", order: str = "conv_id") -> DataFrame:
     """Rows of both sets with their ``split``; an error where a set comes out smaller than asked for.
 
-    The evaluation set is always chosen by quality. ``leaked`` marks its rows that are in the training set too.
+    Candidates are worked out once: what is chosen is written, then counted and read from there. Pass no more
+    columns than are needed. The evaluation set is always chosen by quality. ``leaked`` marks its rows that are in the training set too.
     """
     choose = {"longest": select_longest, "quality": select_quality, "mixed": select_mixed}[strategy]
+    if train is evaluation:  # one table, which both choices read
+        train = evaluation = written(train, "candidates")
     chosen = {"train": choose(train, target, order=order), "eval": select_quality(evaluation, eval_size, max(80, eval_size // 3), order)}
+    chosen = {split: written(rows, f"chosen-{split}") for split, rows in chosen.items()}  # no more rows than asked for, or 1
     for (split, rows), wanted in zip(chosen.items(), (target, eval_size)):
         if (n := rows.count()) < wanted:
             raise RuntimeError(f"{split}: {n} rows are left of {wanted} asked for")

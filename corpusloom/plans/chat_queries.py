@@ -94,7 +94,7 @@ def sft_dataset(spark, d):
 
 
 def train_eval_split(spark, d):
-    rows = _candidates(spark, d)
+    rows = _candidates(spark, d).select("conv_id", "score", "category", "response_chars")
     return chat.train_and_eval(rows, rows, 6, 4).select("conv_id", "split", "leaked")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import contamination, corpus
-from corpusloom.plans import corpus_queries
+from corpusloom.plans import chat_queries, corpus_queries
 
 
 def shuffled(df):
@@ -94,3 +94,8 @@ def test_block_sums(spark):
     made = spark.createDataFrame([([5, 1, 2],), ([31, 31, 31],)], "ids array<int>").select(corpus.block_sums(F.col("ids")).alias("s"))
     assert sorted(tuple(r.s) for r in made.collect()) == [(8, 5), (93, 93)]
     assert made.where("s.id_sum < 0").collect() == []
+
+
+def test_split_is_chosen_once(spark, data):
+    made = chat_queries.QUERIES["train_eval_split"](spark, data)
+    assert "conversations.parquet" not in " ".join(made.inputFiles())
