@@ -115,20 +115,22 @@ def running_offsets(rows: DataFrame, order: str, size: str, name: str = "offset"
     return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_within")).drop("_part", "_start", "_within")
 
 
-def pack_in_order(docs: DataFrame, block: int, *, ids: str | Column = "ids", order: str = "doc_id", end_id: int | None = 0, size: Column | None = None) -> DataFrame:
+def pack_in_order(docs: DataFrame, block: int, *, ids: str | Column = "ids", order: str = "doc_id", end_id: int | None = 0, size: Column | None = None, kind: str = "int") -> DataFrame:
     """(block_id, input_ids): ids of all documents in order, each followed by the end id, cut into whole blocks.
 
     Documents without ids add nothing, not even an end id; a last partial block is dropped. Documents
     travel as one slice a block, not as single ids. ``size``, the number of ids, is for ids that are still to be
     made: offsets come from it alone, and ids are made once, after what they are made of has met its offset.
+    They travel and come back as ``kind``, an integer type that holds them all.
     """
     if block < 1:
         raise ValueError("a block holds at least one id")
     own = F.col(ids) if isinstance(ids, str) else ids
     count = (F.size(own) if size is None else size).cast("long")
     counted = docs.where(count > 0).select(order, (count + (0 if end_id is None else 1)).alias("_n"))
+    own = own if kind == "int" else own.cast(f"array<{kind}>")
     both = docs.join(running_offsets(counted, order, "_n", "_at"), order)
-    both = both.select("_at", "_n", (F.concat(own, F.array(F.lit(end_id))) if end_id is not None else own).alias("_ids"))
+    both = both.select("_at", "_n", (F.concat(own, F.array(F.lit(end_id).cast(kind))) if end_id is not None else own).alias("_ids"))
     first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_n") - 1) / block)
     cut = both.select("_at", "_ids", F.explode(F.sequence(first, last)).alias("block_id"))
     start = F.greatest(F.col("block_id") * block - F.col("_at"), F.lit(0)).cast("int")

@@ -89,7 +89,7 @@ def dedupe_first(spark, d):
 
 def _blocks(spark, d):
     docs = _filtered(spark, d, min_chars=300).select("doc_id", "text")
-    return corpus.pack_in_order(docs, BLOCK, ids=corpus.char_tokenizer(F.col("text")), size=F.length("text"))
+    return corpus.pack_in_order(docs, BLOCK, ids=corpus.char_tokenizer(F.col("text")), size=F.length("text"), kind="tinyint")
 
 
 def pack_blocks(spark, d):

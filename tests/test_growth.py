@@ -99,3 +99,11 @@ def test_block_sums(spark):
 def test_split_is_chosen_once(spark, data):
     made = chat_queries.QUERIES["train_eval_split"](spark, data)
     assert "conversations.parquet" not in " ".join(made.inputFiles())
+
+
+def test_packed_ids_travel_as_narrow_as_asked(spark):
+    docs = spark.createDataFrame([(0, "abcd"), (1, "efgh")], "doc_id long, text string")
+    ids, size = corpus.char_tokenizer(F.col("text")), F.length("text")
+    wide, narrow = (corpus.pack_in_order(docs, 5, ids=ids, size=size, kind=kind) for kind in ("int", "tinyint"))
+    assert dict(narrow.dtypes)["input_ids"] == "array<tinyint>" and dict(wide.dtypes)["input_ids"] == "array<int>"
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, wide.collect())) and narrow.count() == 2
