@@ -23,8 +23,8 @@ def distinct_ngrams(texts: DataFrame, n: int = N, *, text: str = "text", order:
 def hashed_ngrams(texts: DataFrame, side: int, n: int = N, *, text: str = "text") -> DataFrame:
     """(h1, h2): 94 bits of hash of every n-gram of all texts, 64 in h1 and 30 in the int h2, whose other two hold ``side``.
 
-    Two hashes a word, then a hash of two hashes for each longer run: no n-gram is spelled out. A row takes
-    half the bytes that two longs and a side take in a shuffle.
+    Two hashes a word, then a hash of two hashes for each longer run: no n-gram is spelled out. On the check
+    table these rows take 385 MB of shuffle where two longs and a side took 491.
     """
     made = texts.select(here(tokens(F.col(text))).alias("w")).where(F.size("w") >= n)
     made, size = made.select(*(here(F.transform("w", lambda x: F.xxhash64(F.lit(seed), x))).alias(f"h{seed}") for seed in (1, 2))), 1
